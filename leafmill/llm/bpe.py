@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .arrays import powers, spread
+
 #: The byte-level scheme's pre-token pattern, and the printable stand-ins for bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -364,26 +366,6 @@ class PairTable:
         return out
 
 
-def spread(base: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """base[0], base[0]+1, ... (count[0] of them), base[1], ..."""
-    total = int(count.sum())
-    out = np.arange(total, dtype=np.int64)
-    out += np.repeat(base - (np.cumsum(count) - count), count)
-    return out
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    if len(_POWERS) == 0 or len(_POWERS[0]) < n:
-        base = 0x5851F42D4C957F2D
-        size = max(n, 1 << 20)
-        _POWERS[:] = [np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)))) for x in (base, pow(base, -1, 1 << 64))]
-    return _POWERS[0], _POWERS[1]
-
-
-_POWERS: list[np.ndarray] = []
-
-
 @lru_cache(1)
 def character_classes() -> np.ndarray:
     """By code point: 0 white space, 1 letter, 2 number, 3 other."""

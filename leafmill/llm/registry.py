@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact
+from . import bpe, exact, minhash
 
 
 def queries() -> dict:
     return {
         "op4_bpe": bpe.op4_bpe,
+        "op5_minhash": minhash.op5_minhash,
         "op8_exact_dedup": exact.op8_exact_dedup,
     }
 
