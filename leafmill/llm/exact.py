@@ -40,7 +40,8 @@ def heavy_winners(ids: DataFrame, counters: int = COUNTERS, least: int = LEAST_H
         .groupBy("part")
         .agg(F.expr(f"approx_top_k_accumulate(key, {counters})").alias("state"))
     )
-    top = part.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(state, {counters}), {counters})").alias("top"))
+    # grouped, so that tasks without sketches give none: an empty one cannot be combined
+    top = part.groupBy((F.col("part") * 0).alias("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(state, {counters}), {counters})").alias("top"))
     keys = top.select(F.explode("top").alias("x")).where(F.col("x.count") >= least).select(F.col("x.item").alias("key"))
     named = ids.withColumn("key", F.xxhash64("digest")).join(F.broadcast(keys), "key", "left_semi")
     exact = named.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
