@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, minhash
+from . import bpe, exact, minhash, quality
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op4_bpe": bpe.op4_bpe,
         "op5_minhash": minhash.op5_minhash,
         "op8_exact_dedup": exact.op8_exact_dedup,
+        "op9_quality": quality.op9_quality,
     }
 
 
