@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, minhash, quality
+from . import bpe, exact, minhash, mixing, quality
 
 
 def queries() -> dict:
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op4_bpe": bpe.op4_bpe,
         "op5_minhash": minhash.op5_minhash,
         "op8_exact_dedup": exact.op8_exact_dedup,
