@@ -252,7 +252,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     fp, root = fresh(docs, "fp"), fresh(docs, "root")
     several = sets.where("n_docs > 1").select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(root + "_id"))
     several = stage(several, "several")
-    n = len(docs.columns)
+    n, names = len(docs.columns), [*docs.columns, fp]
     where_text = docs.columns.index(text_col)
 
     def run(batches):
@@ -260,7 +260,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
             data, at = buffers(batch.column(where_text).cast(pa.large_string()))
             for i, j in slices(at, TEXT):
                 keys = [set_key(s) if len(s) else None for s in shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], k)]
-                yield pa.RecordBatch.from_arrays([batch.column(c)[i:j] for c in range(n)] + [pa.array(keys, pa.int64())], names=[*docs.columns, fp])
+                yield pa.RecordBatch.from_arrays([batch.column(c)[i:j] for c in range(n)] + [pa.array(keys, pa.int64())], names=names)
 
     from pyspark.sql.types import LongType, StructType
 

@@ -209,6 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 def score_documents(docs: DataFrame, field: Field, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a column of quality scores from 0 to 1; null texts count as empty, which is one empty line."""
+    names = [*docs.columns, name]
     n, where = len(docs.columns), docs.columns.index(text_col)
 
     def run(batches):
@@ -216,7 +217,7 @@ def score_documents(docs: DataFrame, field: Field, text_col: str = "text", name:
             data, at = buffers(batch.column(where))
             for i, j in slices(at, TEXT):
                 s = field.scores(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                yield pa.RecordBatch.from_arrays([batch.column(c)[i:j] for c in range(n)] + [pa.array(s, pa.float64())], names=[*docs.columns, name])
+                yield pa.RecordBatch.from_arrays([batch.column(c)[i:j] for c in range(n)] + [pa.array(s, pa.float64())], names=names)
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
 
