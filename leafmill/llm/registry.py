@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, minhash, mixing, quality
+from . import bpe, exact, minhash, mixing, pii, quality
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_pii": pii.op2_pii,
         "op4_bpe": bpe.op4_bpe,
         "op5_minhash": minhash.op5_minhash,
         "op8_exact_dedup": exact.op8_exact_dedup,
