@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, minhash, mixing, pii, quality
+from . import bpe, exact, minhash, mixing, pii, pq, quality
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_pii": pii.op2_pii,
         "op4_bpe": bpe.op4_bpe,
         "op5_minhash": minhash.op5_minhash,
+        "op6_embeddings": pq.op6_embeddings,
         "op8_exact_dedup": exact.op8_exact_dedup,
         "op9_quality": quality.op9_quality,
     }
