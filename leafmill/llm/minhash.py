@@ -206,8 +206,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sets = stage(sets, "candidates")
     # every block with itself and with the family's centre
     centre = sets.join(centres.select("fp", "n_blocks"), "fp").select("fp", "family", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "members")
-    links = stage(confirm(sets.unionByName(centre), ["family", "block"], percent), "confirmed")
-    joint = stage(components(links), "joint")
+    joint = stage(components(confirm(sets.unionByName(centre), ["family", "block"], percent)), "joint")
     # sets outside the largest component of a family that was split, with all of the family
     parts = families.join(large, "family").join(joint, F.col("fp") == F.col("node"), "left").select("fp", "family", F.coalesce("root", "fp").alias("part"))
     counted = parts.groupBy("family", "part").agg(F.count("*").alias("n"))
@@ -222,8 +221,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         outs = todo.where("part <> main").select("fp", "family", F.pmod(h, "n_out").alias("o"), F.explode(F.sequence(F.lit(0), F.col("n_in") - 1)).alias("i"), "members")
         ins = todo.select("fp", "family", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("o"), F.pmod(h, "n_in").cast("int").alias("i"), "members")
         rest = confirm(outs.select("fp", "family", F.col("o").cast("int").alias("o"), "i", "members").unionByName(ins), ["family", "o", "i"], percent)
-        links = links.unionByName(stage(rest, "rest"))
-        joint = stage(components(links), "joint")
+        joint = stage(components(joint.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)), "joint")
     rooted = reps.select("fp", "doc_id", "n_rows").join(joint, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", "n_rows", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("n_rows").alias("n_docs"))
     return rows.select("doc_id", "n_shingles", "fp"), rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id", "n_docs")
