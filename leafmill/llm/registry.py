@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, minhash, mixing, pii, pq, quality
+from . import bpe, chat, exact, minhash, mixing, pii, pq, quality
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op2_pii": pii.op2_pii,
+        "op3_chat": chat.op3_chat,
         "op4_bpe": bpe.op4_bpe,
         "op5_minhash": minhash.op5_minhash,
         "op6_embeddings": pq.op6_embeddings,
