@@ -28,7 +28,7 @@ THRESHOLD = 0.93
 LIST_SIZE, MOST_LISTS, SAMPLE = 1000, 4096, 16384
 SUBSPACES, CODES, MARGIN = 8, 64, 5.0
 #: Residents and visitors that meet in one task at a time.
-BLOCK = 512
+BLOCK = 1024
 SEED = 7
 
 
@@ -79,16 +79,23 @@ class Model:
     def estimate(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Distances of queries to codes of a list, from one table of distances a subspace."""
         rest = queries - self.centre[cell]
-        out = np.zeros((len(queries), len(codes)))
+        out = np.zeros((len(queries), len(codes)), np.float32)
         for m, (a, b) in enumerate(zip(self.edge, self.edge[1:])):
             part, book = rest[:, a:b], self.book[m]
             table = (part**2).sum(1)[:, None] - 2 * part @ book.T + (book**2).sum(1)
-            out += table[:, codes[:, m]]
+            out += np.take(table.astype(np.float32), codes[:, m], axis=1)
         return np.sqrt(np.maximum(out, 0))
 
 
+def dense(column) -> np.ndarray:
+    """The lists of an Arrow column, all of one length, as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def unit(rows) -> np.ndarray:
-    x = np.array(rows, np.float64)
+    x = np.asarray(rows, np.float64)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -110,8 +117,9 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, margin: f
     repeat are vectors of their own. Other columns are not read.
     """
     v = F.col("v")
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(math.inf)))
+    kind = "float" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast(f"array<{kind}>").alias("v"))
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(math.inf).cast(kind)))
     fine = F.col("label").isNotNull() & v.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0)
     rows = stage(rows.withColumn("fine", F.coalesce(fine, F.lit(False))).withColumn("hash", F.when(F.col("fine"), F.xxhash64("v"))), "vectors")
     nodes = rows.where("fine").groupBy("hash", "label", "v").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"))
@@ -119,7 +127,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, margin: f
     dims = [r["dim"] for r in nodes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(64).collect()]
     found = None
     for dim in dims:  # nearly always one
-        part = _links(nodes.where(F.col("dim") == dim), dim, threshold, margin)
+        part = _links(nodes.where(F.col("dim") == dim), dim, kind, threshold, margin)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -136,7 +144,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, margin: f
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
-def _links(nodes: DataFrame, dim: int, threshold: float, margin: float) -> DataFrame:
+def _links(nodes: DataFrame, dim: int, kind: str, threshold: float, margin: float) -> DataFrame:
     """a, b, n: for every node the weight of other nodes linked to it (b null), and links that span components (n null)."""
     count = nodes.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).first()
     lists = max(1, min(MOST_LISTS, count["n"] // (LIST_SIZE * max(1, count["labels"]))))
@@ -149,7 +157,7 @@ def _links(nodes: DataFrame, dim: int, threshold: float, margin: float) -> DataF
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
                 b = batch.slice(k, 4096)
-                x = unit(b.column(2).to_pylist())
+                x = unit(dense(b.column(2)))
                 home, visits = model.place(x, reach)
                 codes, error = model.code(x, home)
                 yield pa.RecordBatch.from_arrays(
@@ -157,7 +165,7 @@ def _links(nodes: DataFrame, dim: int, threshold: float, margin: float) -> DataF
                     names=["node", "label", "v", "weight", "cell", "code", "error", "visits"],
                 )
 
-    schema = "node long, label string, v array<double>, weight long, cell int, code binary, error double, visits array<int>"
+    schema = f"node long, label string, v array<{kind}>, weight long, cell int, code binary, error double, visits array<int>"
     placed = stage(nodes.select("node", "label", "v", "weight").mapInArrow(place, schema), "placed")
     visitors = placed.select("node", "label", "v", F.explode("visits").alias("cell"))
     sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_in"))
@@ -171,15 +179,15 @@ def _links(nodes: DataFrame, dim: int, threshold: float, margin: float) -> DataF
     def meet(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         cell = key[1].as_py()
         resident = group.column("weight").is_valid().to_numpy(zero_copy_only=False)
-        x = unit(group.column("v").to_pylist())
+        x = unit(dense(group.column("v")))
         node = group.column("node").to_numpy()
         inside, outside = np.flatnonzero(resident), np.flatnonzero(~resident)
         a, b, n = [], [], []
         if len(inside) and len(outside):
             weight = group.column("weight").to_pandas().to_numpy()[inside].astype(np.int64)
-            codes = np.array([list(c) for c in group.column("code").take(pa.array(inside)).to_pylist()], np.int64)
+            codes = np.stack([np.frombuffer(c, np.uint8) for c in group.column("code").take(pa.array(inside)).to_pylist()]).astype(np.int64)
             error = group.column("error").to_pandas().to_numpy()[inside].astype(float)
-            near = model.estimate(x[outside], cell, codes) <= radius + error[None, :] + 1e-9
+            near = model.estimate(x[outside], cell, codes) <= radius + error[None, :] + 1e-4
             near &= node[outside][:, None] != node[inside][None, :]
             near = links_of(x[outside], x[inside], near, threshold)
             total = near @ weight

@@ -196,7 +196,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
                 rows = [x[a : min(b, a + LINES)].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(rows, pa.binary())], names=["label", "x"])
 
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["doc_id"]).select(F.col("label").cast("int").alias("label"), docs[text_col].cast("string"))
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    rows = texts.join(F.broadcast(chosen), texts["id"] == chosen["doc_id"]).select(F.col("label").cast("int").alias("label"), "text")
     got = rows.mapInArrow(run, "label int, x binary").collect()  # bounded by sample and LINES
     # the order of collected rows may differ from run to run, and sums of floats with it
     got = sorted((r["label"], bytes(r["x"])) for r in got)
