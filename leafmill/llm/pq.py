@@ -124,7 +124,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, margin: f
     rows = stage(rows.withColumn("fine", F.coalesce(fine, F.lit(False))).withColumn("hash", F.when(F.col("fine"), F.xxhash64("v"))), "vectors")
     nodes = rows.where("fine").groupBy("hash", "label", "v").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "nodes")
-    dims = [r["dim"] for r in nodes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(64).collect()]
+    dims = [r["dim"] for r in nodes.groupBy("dim").count().orderBy("dim").collect()]  # lengths, not vectors
     found = None
     for dim in dims:  # nearly always one
         part = _links(nodes.where(F.col("dim") == dim), dim, kind, threshold, margin)
