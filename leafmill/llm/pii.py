@@ -32,7 +32,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-WORDLIKE = re.compile(r"\S*[0-9@]\S*")
+WORDLIKE = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 EDGE = "\"'()[]{}<>,.;:!?*#$%&|="
 
 
