@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 
@@ -17,7 +20,7 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
-        base, size = 0x5851F42D4C957F2D, max(n, 1 << 20)
+        base, size = 0x5851F42D4C957F2D, max(n, 1 << 19)
         _POWERS[:] = [np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)))) for x in (base, pow(base, -1, 1 << 64))]
     return _POWERS[0], _POWERS[1]
 
@@ -81,3 +84,27 @@ def slices(at: np.ndarray, most: int):
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+
+
+def tidy(run):
+    """A function over batches that gives memory back to the system when its task ends.
+
+    Workers are used again and again; what their allocators keep would count against the executor all the while.
+    """
+
+    @functools.wraps(run)
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim()
+
+    return out
+
+
+def trim() -> None:
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

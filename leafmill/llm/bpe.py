@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .arrays import powers, spread
+from .arrays import powers, spread, tidy
 
 #: The byte-level scheme's pre-token pattern, and the printable stand-ins for bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -30,7 +30,7 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Bytes of a window beyond the lookahead; pre-tokens up to SHORT bytes are merged by rescanning.
 WINDOW, SHORT = 2048, 48
 #: Characters of a block.
-BLOCK = 2_000_000
+BLOCK = 500_000
 
 
 def byte_of_char() -> dict[str, int]:
@@ -464,6 +464,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     """
     path = path or default_path()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(merges_at(path))
         for batch in batches:

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import tidy
 from .common import stage, unstage
 
 #: Links that a task contracts at a time.
@@ -17,6 +18,7 @@ PART = 200_000
 def contract(links: DataFrame) -> DataFrame:
     """u, v: links (a, b) of each task replaced by links of every node to the smallest that it reaches in it."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root: dict[int, int] = {}
 

@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import MIX, buffers, mixed, segment_hashes, slices
+from .arrays import MIX, buffers, mixed, segment_hashes, slices, tidy
 from .common import fresh, stage
 
 #: One boundary in so many lines, on average; lines that a boundary depends on; most lines of a chunk.
 SPACING, WIDTH, LONGEST = 3, 2, 64
-TEXT = 2_000_000
+TEXT = 500_000
 
 
 def chunks(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,6 +62,7 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     The first occurrence stays: that in the smallest id (nulls last), there the earliest.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = buffers(batch.column(2))
@@ -104,6 +105,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = with_lists(met)
     text_at, gone_at, names = joined.columns.index(text_col), joined.columns.index(gone), list(joined.columns)
 
+    @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bytes of every repeated chunk."""
         for batch in batches:
@@ -127,6 +129,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not differ.isEmpty():  # equal hashes of different bytes: none is expected in any corpus
         joined = with_lists(met.join(differ, "hash", "left_anti"))
 
+    @tidy
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = buffers(batch.column(text_at))

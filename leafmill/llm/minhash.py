@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, MIX, buffers, mixed, segment_hashes, slices, words
+from .arrays import LOWER, MIX, buffers, mixed, segment_hashes, slices, words, tidy
 from .common import fresh, stage
 from .graph import components
 
@@ -28,7 +28,7 @@ PERMUTATIONS, BANDS, ROWS = 60, 24, 5
 #: Sets in a block; a task compares two blocks at most.
 BLOCK = 128
 #: Bytes of text in work at a time, and shingles in work at a time.
-TEXT, PART = 2_000_000, 1 << 15
+TEXT, PART = 500_000, 1 << 15
 ODD = mixed(np.arange(1, 513, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -87,6 +87,7 @@ def signatures(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) ->
 def features(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, fp (null for an empty set) and bands of every row."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             data, at = buffers(batch.column(1))
@@ -108,6 +109,7 @@ def features(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
 def with_sets(named: DataFrame, k: int, carry: list[str], schema: str) -> DataFrame:
     """fp and set of each row's text, beside the columns ``carry``."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             data, at = buffers(batch.column(len(carry)))
@@ -253,6 +255,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     n, names = len(docs.columns), [*docs.columns, fp]
     where_text = docs.columns.index(text_col)
 
+    @tidy
     def run(batches):
         for batch in batches:
             data, at = buffers(batch.column(where_text).cast(pa.large_string()))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
+from .arrays import tidy
 from .common import stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -119,6 +120,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     span_type = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
     slot_type = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("word", pa.string()), ("patterns", pa.list_(pa.string()))])
 
+    @tidy
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 512):

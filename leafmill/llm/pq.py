@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import tidy
 from .common import stage
 from .graph import components
 
@@ -153,6 +154,7 @@ def _links(nodes: DataFrame, dim: int, kind: str, threshold: float, margin: floa
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
     reach = radius * min(1.0, margin / math.sqrt(dim))
 
+    @tidy
     def place(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):

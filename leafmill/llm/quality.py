@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructType
 
-from .arrays import buffers, mixed, segment_hashes, slices, words
+from .arrays import buffers, mixed, segment_hashes, slices, words, tidy
 from .common import fresh
 
 #: Bounds of the fit: labelled documents, and lines of each.
 SAMPLE, LINES = 8000, 256
 THRESHOLD = 0.3
-TEXT = 1_000_000
+TEXT = 500_000
 
 
 def _of(chars: str) -> np.ndarray:
@@ -188,6 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
+    @tidy
     def run(batches):
         for batch in batches:
             data, at = buffers(batch.column(1))
@@ -213,6 +214,7 @@ def score_documents(docs: DataFrame, field: Field, text_col: str = "text", name:
     names = [*docs.columns, name]
     n, where = len(docs.columns), docs.columns.index(text_col)
 
+    @tidy
     def run(batches):
         for batch in batches:
             data, at = buffers(batch.column(where))
@@ -237,6 +239,7 @@ def op9_quality(spark, sf_dir: str) -> DataFrame:
     field = train(docs, labels)
     kind = docs.schema["doc_id"].dataType
 
+    @tidy
     def run(batches):
         for batch in batches:
             data, at = buffers(batch.column(1))

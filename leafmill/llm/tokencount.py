@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .arrays import tidy
 from .bpe import BLOCK, Encoder, blocks, default_path, merges_at
 from .common import new_path, stage
 
@@ -30,6 +31,7 @@ def write_flat(docs: DataFrame, path: str, text_col: str = "text", tokenizer: st
     """
     tokenizer = tokenizer or default_path()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(merges_at(tokenizer))
         encoder.special = None
@@ -53,6 +55,7 @@ def count_tokens(spark: SparkSession, path: str, width: int = WIDTH, end: int =
     """
     block = block // width * width
 
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
