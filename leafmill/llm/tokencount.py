@@ -102,11 +102,11 @@ def op10_token_counts(spark, sf_dir: str) -> DataFrame:
     write_flat(docs.select("text"), path)
     counts = count_tokens(spark, path)
     name = F.element_at(F.split("path", "/"), -1)
-    counts = counts.withColumn("part", F.regexp_extract(name, r"part-(\d+)", 1).cast("int")).withColumn("file", F.regexp_extract(name, r"-c(\d+)", 1).cast("int"))
+    counts = counts.withColumn("part", F.regexp_extract(name, r"^part-(\d+)", 1).cast("int")).withColumn("file", F.regexp_extract(name, r"-c(\d+)\.\w+$", 1).cast("int"))
     place = F.monotonically_increasing_id()
     ids = docs.select("doc_id", F.spark_partition_id().alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("pos"))
     a, b = ids.alias("a"), counts.select("part", (F.col("file") * FILE_DOCS + F.col("ordinal")).alias("pos"), "n_tokens").alias("b")
     out = a.join(b, ["part", "pos"], "full")
     missing = F.col("n_tokens").isNull() | F.col("a.pos").isNull()
-    n = F.when(missing, F.raise_error(F.lit("token files and documents differ")).cast("long")).otherwise(F.col("n_tokens"))
-    return out.select("doc_id", n.alias("n_tokens"))
+    agree = F.when(missing, F.raise_error(F.lit("token files and documents differ")).cast("boolean")).otherwise(True)
+    return out.where(agree).select("doc_id", "n_tokens")
