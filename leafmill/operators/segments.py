@@ -78,4 +78,4 @@ def caption_images(segments: DataFrame, caption, transcribe) -> DataFrame:
     image, scan = F.col("kind") == "image", F.col("is_scan")
     made = F.when(image & scan, transcribe).when(image, caption)
     text = F.when(made.isNull(), F.col("text")).when(scan | (F.coalesce("text", F.lit("")) == ""), made).otherwise(F.concat("text", F.lit("\n"), made))
-    return segments.withColumn("kind", F.when(image & scan & made.isNotNull(), "text").otherwise(F.col("kind"))).withColumn("text", text)
+    return segments.withColumns({"kind": F.when(image & scan & made.isNotNull(), "text").otherwise(F.col("kind")), "text": text})
