@@ -37,7 +37,7 @@ def content_dedup(docs: DataFrame, content: str = "text", keep: str = "doc_id")
 
 def parent_rows(parents: DataFrame, pooled: DataFrame) -> DataFrame:
     """Stored parents: level 0, not searchable, embedded by the mean of their children."""
-    rows = parents.join(pooled, parents["id"] == pooled["parent_chunk_id"]).drop("parent_chunk_id")
+    rows = parents.join(pooled.withColumnRenamed("parent_chunk_id", "id"), "id")
     none = F.lit(None)
     return rows.withColumns({"level": F.lit(0), "parent_chunk_id": none.cast("long"), "is_searchable": F.lit(False), "parent_ids": F.array().cast("array<long>"), "children_ids": F.array().cast("array<long>")})
 
