@@ -39,8 +39,8 @@ def ask(spark: SparkSession, store_dir: str, text: str, domain: str | None, mode
     if mode == "lexical":
         kids = retrieve.searchable_children(chunks, domain)
         hits = lexical.lexical(kids, text, "id", "content").orderBy(F.col("score").desc(), "id").limit(DEFAULT.top_k_children)
-        best = kids.join(hits, "id").groupBy("parent_chunk_id").agg(F.max("score").alias("score"))
-        return chunks.join(best, chunks["id"] == best["parent_chunk_id"]).select(chunks["id"].alias("parent_id"), "content", "score").orderBy(F.col("score").desc(), "parent_id").limit(k)
+        best = kids.join(hits, "id").groupBy(F.col("parent_chunk_id").alias("id")).agg(F.max("score").alias("score"))
+        return chunks.select("id", "content").join(best, "id").select(F.col("id").alias("parent_id"), "content", "score").orderBy(F.col("score").desc(), "parent_id").limit(k)
     vector = spark.range(1).select(hashed_embedding(T.tokens(F.lit(text)), dim).alias("v")).first()["v"]
     return retrieve.retrieve(chunks, vector, domain).limit(k)
 
