@@ -1,8 +1,9 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by windows of neighbouring lines.
 
-A rolling hash over the hashes of neighbouring lines chooses where chunks end, so that a passage falls into the
-same chunks wherever it stands. Chunks of two lines or more that occur more than once in the corpus stay
-where they occur first, and go elsewhere, once their bytes have been compared.
+Every two neighbouring lines are a window, and so is each line of many words alone. What a window holds depends on
+nothing around it, so every passage of two lines or more that stands elsewhere too is covered by repeated
+windows from its first line to its last. A window stays where it occurs first; the lines of its other occurrences
+go, once their bytes have been compared.
 """
 
 from __future__ import annotations
@@ -14,20 +15,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import MIX, buffers, mixed, segment_hashes, slices, tidy
+from .arrays import MIX, SPACE, buffers, mixed, segment_hashes, slices, tidy
 from .common import fresh, stage
 
-#: One boundary in so many lines, on average; lines that a boundary depends on; most lines of a chunk.
+#: Words from which a line is a window alone. A shorter line that repeats by itself (a brace, a heading) is no passage.
+LONE = 50
+#: Of ``chunks``: one boundary in so many lines, on average; lines that a boundary depends on; most lines of a chunk.
 SPACING, WIDTH, LONGEST = 3, 2, 64
 TEXT = 500_000
 
 
-def chunks(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """By chunk: its text's number, first byte, end (without the line feed) and number of lines."""
+def split(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and end (without the line feed) of each line; by text its lines, and those before it (the sum at last)."""
     feeds = np.flatnonzero(data == 10)
     n = len(at) - 1
-    of_text = np.searchsorted(at, feeds, "right") - 1
-    per = np.bincount(of_text, minlength=n) + 1
+    per = np.bincount(np.searchsorted(at, feeds, "right") - 1, minlength=n) + 1
     first = np.concatenate(([0], np.cumsum(per)))
     total = int(first[-1])
     starts, ends = np.empty(total, np.int64), np.empty(total, np.int64)
@@ -36,6 +38,26 @@ def chunks(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     closes[first[1:] - 1] = True
     starts[opens], starts[~opens] = at[:-1], feeds + 1
     ends[closes], ends[~closes] = at[1:], feeds
+    return starts, ends, per, first
+
+
+def long_lines(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which lines have ``LONE`` words or more."""
+    inside = ~SPACE[data]
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    line = starts[starts < ends]
+    opens[line] = inside[line]
+    before = np.concatenate(([0], np.cumsum(opens)))
+    return before[ends] - before[starts] >= LONE
+
+
+def chunks(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Content-defined chunks, which ``line_dedup`` does not use: text's number, first byte, end (without the line feed), lines."""
+    starts, ends, per, first = split(data, at)
+    n, total = len(per), len(starts)
+    closes = np.zeros(total, bool)
+    closes[first[1:] - 1] = True
     h = segment_hashes(data, starts, ends)
     rolled = h.copy()
     for k in range(1, WIDTH):
@@ -56,8 +78,8 @@ def _tag(docs: DataFrame, id_col: str, text_col: str):
     return F.xxhash64(F.lit(11), docs[id_col], docs[text_col])
 
 
-def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """tag, no, hash, size and stays of each chunk that occurs more than once.
+def repeated_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """tag, no (of the first line), wide (number of lines), both lines' hashes and stays of each window that occurs more than once.
 
     The first occurrence stays: that in the smallest id (nulls last), there the earliest.
     """
@@ -68,38 +90,62 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             data, at = buffers(batch.column(2))
             for i, j in slices(at, TEXT):
                 part = data[at[i] : at[j]]
-                text, lo, hi, lines = chunks(part, at[i : j + 1] - at[i])
-                no = np.arange(len(text)) - np.searchsorted(text, text)
-                many = lines > 1
-                take = pa.array(text[many] + i)
+                starts, ends, per, first = split(part, at[i : j + 1] - at[i])
+                h = segment_hashes(part, starts, ends).view(np.int64)
+                text = np.repeat(np.arange(j - i), per)
+                no = np.arange(len(h)) - first[text]
+                two = np.flatnonzero(text[1:] == text[:-1])
+                lone = np.flatnonzero(long_lines(part, starts, ends))
+                line = np.concatenate((two, lone))
+                take = pa.array(text[line] + i)
+                second = np.concatenate((h[two + 1], np.zeros(len(lone), np.int64)))
+                wide = np.repeat(np.array([2, 1], np.int32), [len(two), len(lone)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(no[many], pa.int32()), pa.array(segment_hashes(part, lo[many], hi[many]).view(np.int64)), pa.array((hi - lo)[many], pa.int64())],
-                    names=["tag", "doc_id", "no", "hash", "size"],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(no[line], pa.int32()), pa.array(wide), pa.array(h[line]), pa.array(second)],
+                    names=["tag", "doc_id", "no", "wide", "hash", "second"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(_tag(docs, id_col, text_col).alias("tag"), docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    every = stage(rows.mapInArrow(run, f"tag long, doc_id {kind}, no int, hash long, size long"), "chunks")
+    every = stage(rows.mapInArrow(run, f"tag long, doc_id {kind}, no int, wide int, hash long, second long"), "windows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag", "no"))
-    known = every.groupBy("hash", "size").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
-    known = stage(known.select("hash", "size", F.col("first.tag").alias("first_tag"), F.col("first.no").alias("first_no")), "repeats")
-    met = every.join(known, ["hash", "size"])
-    return met.select("tag", "no", "hash", "size", ((F.col("tag") == F.col("first_tag")) & (F.col("no") == F.col("first_no"))).alias("stays"))
+    known = every.groupBy("hash", "second", "wide").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
+    known = stage(known.select("hash", "second", "wide", F.col("first.tag").alias("first_tag"), F.col("first.no").alias("first_no")), "repeats")
+    met = every.join(known, ["hash", "second", "wide"])
+    return met.select("tag", "no", "wide", "hash", "second", ((F.col("tag") == F.col("first_tag")) & (F.col("no") == F.col("first_no"))).alias("stays"))
+
+
+def listed(column: pa.Array, i: int, j: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows listed with texts i to j: each one's first line, counted over these texts, wide and stays."""
+    at = column.offsets.to_numpy()[i : j + 1]
+    values = column.values.slice(at[0], at[-1] - at[0])
+    no, wide, stays = (values.field(x).to_numpy(zero_copy_only=False) for x in ("no", "wide", "stays"))
+    return np.repeat(first[:-1], np.diff(at)) + no.astype(np.int64), wide, stays.astype(bool)
+
+
+def covered(total: int, line: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Which of ``total`` lines the windows hold."""
+    out = np.zeros(total, bool)
+    out[line] = True
+    out[line[wide == 2] + 1] = True
+    return out
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
-    """``docs`` with repeated chunks removed from their texts; with ``counts`` also n_lines and n_removed.
+    """``docs`` with repeated passages removed from their texts; with ``counts`` also n_lines and n_removed.
 
+    A passage is two neighbouring lines or more, or a line of ``LONE`` words or more. Wherever it occurs but for the first
+    time, all its lines go; each of them stays somewhere. A shorter line goes only with a neighbour.
     Every row stays, perhaps with an empty text. A null text stays null and has no lines; other texts have one line more
-    than line feeds. Rows equal in id and text are one document: what stays in one stays in all of them. Chunks of
-    equal hash and length whose bytes differ are not removed.
+    than line feeds. Rows equal in id and text are one document: what stays in one stays in all of them. Lines of
+    equal hash whose bytes differ are not removed.
     """
     tag, gone = fresh(docs, "tag"), fresh(docs, "gone")
     n_lines, n_removed = (fresh(docs, "n_lines"), fresh(docs, "n_removed")) if not counts else ("n_lines", "n_removed")
-    met = stage(repeated_chunks(docs, id_col, text_col).distinct(), "met")
+    met = stage(repeated_windows(docs, id_col, text_col).distinct(), "met")
 
     def with_lists(met: DataFrame) -> DataFrame:
-        by_doc = met.groupBy("tag").agg(F.collect_list(F.struct("no", "hash", "size", "stays")).alias(gone)).withColumnRenamed("tag", tag)  # chunks of one document
+        by_doc = met.groupBy("tag").agg(F.collect_list(F.struct("no", "wide", "stays")).alias(gone)).withColumnRenamed("tag", tag)  # windows of one document
         return stage(docs.withColumn(tag, _tag(docs, id_col, text_col)).join(by_doc.hint("shuffle_hash"), tag, "left"), "joined")
 
     joined = with_lists(met)
@@ -107,27 +153,24 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bytes of every repeated chunk."""
+        """The bytes of every line in a repeated window."""
         for batch in batches:
             data, at = buffers(batch.column(1))
             for i, j in slices(at, TEXT):
                 part = data[at[i] : at[j]]
-                text, lo, hi, _ = chunks(part, at[i : j + 1] - at[i])
-                base = np.searchsorted(text, np.arange(j - i))
-                hashes, sizes, raw = [], [], []
-                for r, found in enumerate(batch.column(0)[i:j].to_pylist()):
-                    for x in found:
-                        c = base[r] + x["no"]
-                        hashes.append(x["hash"])
-                        sizes.append(x["size"])
-                        raw.append(part[lo[c] : hi[c]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(raw, pa.binary())], names=["hash", "size", "bytes"])
-
-    seen = joined.where(F.col(gone).isNotNull()).select(gone, text_col).mapInArrow(read, "hash long, size long, bytes binary")
-    distinct = seen.groupBy("hash", "size", "bytes").agg(F.count("*").alias("n"))  # combined in the tasks that read
-    differ = stage(distinct.groupBy("hash", "size").agg(F.count("*").alias("variants")).where("variants > 1").select("hash"), "differ")
+                starts, ends, _, first = split(part, at[i : j + 1] - at[i])
+                line, wide, _ = listed(batch.column(0), i, j, first)
+                held = np.flatnonzero(covered(len(starts), line, wide))
+                lo, hi = starts[held], ends[held]
+                found = {(h, part[a:b].tobytes()) for h, a, b in zip(segment_hashes(part, lo, hi).view(np.int64).tolist(), lo, hi)}
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["hash", "bytes"])
+
+    seen = joined.where(F.col(gone).isNotNull()).select(gone, F.col(text_col).cast("string")).mapInArrow(read, "hash long, bytes binary")
+    distinct = seen.groupBy("hash", "bytes").agg(F.count("*").alias("n"))  # combined in the tasks that read
+    differ = stage(distinct.groupBy("hash").agg(F.count("*").alias("variants")).where("variants > 1").select("hash"), "differ")
     if not differ.isEmpty():  # equal hashes of different bytes: none is expected in any corpus
-        joined = with_lists(met.join(differ, "hash", "left_anti"))
+        one = (met["hash"] == differ["hash"]) | ((met["wide"] == 2) & (met["second"] == differ["hash"]))
+        joined = with_lists(met.join(F.broadcast(differ), one, "left_anti"))
 
     @tidy
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,24 +178,23 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             data, at = buffers(batch.column(text_at))
             for i, j in slices(at, TEXT):
                 part = data[at[i] : at[j]]
-                text, lo, hi, lines = chunks(part, at[i : j + 1] - at[i])
-                base = np.searchsorted(text, np.arange(j - i + 1))
-                out, removed, total = [], [], []
-                valid = batch.column(text_at)[i:j].is_valid().to_pylist()
-                for r, found in enumerate(batch.column(gone_at)[i:j].to_pylist()):
-                    a, b = int(base[r]), int(base[r + 1])
-                    off = {a + x["no"] for x in found or () if not x["stays"]}
-                    total.append(int(lines[a:b].sum()) if valid[r] else 0)
-                    removed.append(sum(int(lines[c]) for c in off))
+                starts, ends, per, first = split(part, at[i : j + 1] - at[i])
+                line, wide, stays = listed(batch.column(gone_at), i, j, first)
+                off = covered(len(starts), line[~stays], wide[~stays])
+                removed = np.diff(np.concatenate(([0], np.cumsum(off)))[first])
+                out = []
+                valid = batch.column(text_at)[i:j].is_valid().to_numpy(zero_copy_only=False)
+                for r in range(j - i):
                     if not valid[r]:
                         out.append(None)
-                    elif not off:
+                    elif not removed[r]:
                         out.append(part[at[i + r] - at[i] : at[i + r + 1] - at[i]].tobytes().decode("utf-8", "replace"))
                     else:
-                        out.append(b"\n".join(part[lo[c] : hi[c]].tobytes() for c in range(a, b) if c not in off).decode("utf-8", "replace"))
+                        kept = np.flatnonzero(~off[first[r] : first[r + 1]]) + first[r]
+                        out.append(b"\n".join(part[starts[c] : ends[c]].tobytes() for c in kept).decode("utf-8", "replace"))
                 cols = [batch.column(c)[i:j] for c in range(batch.num_columns)]
                 cols[text_at] = pa.array(out, pa.string())
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[*names, n_lines, n_removed])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.where(valid, per, 0), pa.int64()), pa.array(removed, pa.int64())], names=[*names, n_lines, n_removed])
 
     from pyspark.sql.types import LongType, StructType
 

@@ -211,6 +211,39 @@ def test_chunks_cover_texts():
         assert b"\n".join(t[a - at[i] : b - at[i]] for a, b in zip(lo[mine], hi[mine])) == t and n[mine].sum() == t.count(b"\n") + 1 and n[mine].max() <= lines.LONGEST
 
 
+def brute_line_dedup(docs):
+    """Texts by id after every later occurrence of two neighbouring lines, or of a line of LONE words, has gone."""
+    known, off = set(), defaultdict(set)
+    for i, t in sorted(docs):
+        x = t.split("\n")
+        for a in range(len(x)):
+            for key in ([tuple(x[a : a + 2])] if a + 1 < len(x) else []) + ([x[a]] if len(words_of(x[a])) >= lines.LONE else []):
+                if key in known:
+                    off[i] |= {a, a + 1} if isinstance(key, tuple) else {a}
+                known.add(key)
+    return {i: "\n".join(y for a, y in enumerate(t.split("\n")) if a not in off[i]) for i, t in docs}
+
+
+def test_repeated_passages_go_whole(spark):
+    rnd, docs, passages = random.Random(3), [], []
+    for m in (1, 2, 3, 5, 8, 20):
+        for k in range(20):
+            p = [f"line {m} {k} {i} é" for i in range(m)]
+            passages.append(p)
+            docs += [(len(docs) + c, "\n".join([f"before {c} {m} {k}"] * (k % 3 > 0) + p + [f"after {c} {m} {k}"] * (k % 4 > 0))) for c in range(2)]
+    long = " ".join(f"w{i}" for i in range(60))
+    docs += [(1000, long), (1001, f"x\n{long}\ny"), (1002, "\n\n\nq"), (1003, "q\n\n\n\n\nq"), (1004, "")]
+    docs += [(2000 + i, "\n".join(rnd.choice(["a", "b", "c", "", "é"]) for _ in range(rnd.randrange(1, 9)))) for i in range(60)]
+    out = {r["doc_id"]: r["text"] for r in lines.line_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    assert out == brute_line_dedup(docs)
+    for n, p in enumerate(passages):
+        left = set(out[2 * n + 1].split("\n")) & set(p)
+        assert left == (set(p) if len(p) == 1 else set())
+    assert out[1001] == "x\ny"
+    kept = {y for t in out.values() for y in t.split("\n")}
+    assert {y for _, t in docs for y in t.split("\n")} <= kept | {""}
+
+
 def mix_targets(sizes, weights=(5, 2, 1)):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s) + ([None] if None in sizes else [])
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
