@@ -282,6 +282,20 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_fills_behind_a_long_document(spark):
+    rows = []
+    for s in range(24):
+        rows += [(1000 * s + i, "w " * (9 + i % 3), f"s{s}" if s else None) for i in range(200)] + [(1000 * s + 999, "w " * (1500 + s), f"s{s}" if s else None)]
+    got, blocks = mixing.plan(table(spark, rows), "doc_id", "text", "source", weights=(1,), share=0.3)
+    rest, least = {}, {}
+    for r in got.collect():
+        assert r["copies"] <= 1
+        rest[r["source"]] = rest.get(r["source"], r["target"]) - r["size"] * r["copies"]
+        if not r["copies"]:
+            least[r["source"]] = min(r["size"], least.get(r["source"], r["size"]))
+    assert len(rest) == 24 and all(0 <= rest[s] < least[s] for s in rest)
+
+
 def test_splitting_tree_is_exact_and_disjoint(spark):
     rows = [(s, b, 1 + (b % 2), b == 3) for s in ("a", "b", None) for b in range(20)]
     blocks = spark.createDataFrame(rows, "source string, block int, whole int, part boolean")
