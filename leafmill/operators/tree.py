@@ -34,30 +34,40 @@ def bic(log_likelihood: float, k: int, d: int, n: int) -> float:
     return -2 * log_likelihood + ((k - 1) + k * d + k * d * (d + 1) / 2) * math.log(n)
 
 
-def best_mixture(df: DataFrame, n: int, d: int, ks: list[int], seed: int, tries: int = 3):
+def best_mixture(df: DataFrame, n: int, d: int, ks: list[int], seed: int, tries: int = 3, refine: bool = False):
     """The mixture of least BIC among ``ks``; the first of ties. None for a single cluster.
 
+    With ``refine``, sizes half way to the best one's tried neighbours follow until both stand next to it.
     More components cannot fit worse, so a likelihood that falls shows a bad start; then other seeds are tried.
     """
-    best, reached = None, -math.inf
-    for k in ks:
+    tried: dict[int, tuple] = {}
+
+    def fit(k: int) -> None:
         if k < 2:
             # one Gaussian in closed form
             _, logdet = np.linalg.slogdet(_covariance(df) + 1e-4 * np.eye(d))
             likelihood, model = -0.5 * n * (d * math.log(2 * math.pi) + logdet + d), None
         else:
             model, likelihood = None, -math.inf
+            reached = max((x[2] for j, x in tried.items() if j < k), default=-math.inf)
             for t in range(tries):
                 fitted = GaussianMixture(k=k, seed=seed + t, featuresCol="features", probabilityCol="probability").fit(df)
                 if fitted.summary.logLikelihood > likelihood:
                     model, likelihood = fitted, fitted.summary.logLikelihood
                 if likelihood > reached:
                     break
-        reached = max(reached, likelihood)
-        score = bic(likelihood, k, d, n)
-        if best is None or score < best[0]:
-            best = (score, model)
-    return best[1]
+        tried[k] = (bic(likelihood, k, d, n), model, likelihood)
+
+    for k in ks:
+        fit(k)
+    while True:
+        best = min(tried, key=lambda k: (tried[k][0], k))
+        below, above = max((k for k in tried if k < best), default=best), min((k for k in tried if k > best), default=best)
+        more = [k for k in {(below + best) // 2, (best + above) // 2} if k not in tried] if refine else []
+        if not more:
+            return tried[best][1]
+        for k in sorted(more):
+            fit(k)
 
 
 def _covariance(df: DataFrame) -> np.ndarray:
@@ -70,15 +80,20 @@ def _covariance(df: DataFrame) -> np.ndarray:
 
 
 def soft_clusters(df: DataFrame, cfg: Config = DEFAULT, ks: list[int] | None = None) -> DataFrame:
-    """id, cluster_id: every cluster that a node belongs to with at least the threshold, else its likeliest."""
+    """id, cluster_id: every cluster that a node belongs to with at least the threshold, else its likeliest.
+
+    Without ``ks`` the number of clusters is sought among all up to the limit, first on a coarse grid that holds the
+    limit, then around its best. That is the least BIC of all where BIC has one valley.
+    """
     n = df.count()
-    top = min(cfg.max_clusters, n - 1)
-    ks = [k for k in (ks or [1, 2, 3, 5, 8, 12, 20, 30, 50]) if k <= max(top, 1)]
+    top = max(min(cfg.max_clusters, n - 1), 1)
+    refine = not ks
+    ks = [k for k in ks if k <= top] if ks else sorted({k for k in (1, 2, 3, 5, 8, 12, 20, 30, 50) if k < top} | {top})
     model = None
     if n >= 3:
         rows, d = reduced(df, n, cfg)
         rows = rows.cache()
-        model = best_mixture(rows, n, d, ks, cfg.seed)
+        model = best_mixture(rows, n, d, ks, cfg.seed, refine=refine)
     if model is None:
         return df.select("id", F.lit(0).alias("cluster_id"))
     probs = model.transform(rows).select("id", vector_to_array("probability").alias("p"))

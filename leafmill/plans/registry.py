@@ -481,7 +481,7 @@ def cascade_delete(spark, d):
 def soft_gmm_membership(spark, d):
     """Memberships of all vectors; cluster numbers depend on the fit."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return tree.soft_clusters(rows, ks=[1, 2, 4])
+    return tree.soft_clusters(rows)
 
 
 @query()

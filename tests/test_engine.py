@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from leafmill import schemas
@@ -221,3 +223,26 @@ def test_command_line(spark, tmp_path, capsys):
     assert "grow" in cli.ask(spark, str(tmp_path / "store"), "grow leaf", "ai", "lexical", 1, 64).first()["content"]
     with pytest.raises(ValueError):
         cli.ask(spark, "x", "", "ai", "dense", 1, 64)
+
+
+@pytest.mark.parametrize("best", [1, 2, 4, 17, 31, 49, 50])
+def test_number_of_clusters_is_sought_among_all(spark, monkeypatch, best):
+    class Fitted:
+        def __init__(self, k):
+            self.k, self.summary = k, self
+            self.logLikelihood = -1e6 - 1e4 * k if best == 1 else 1e6 - 1e4 * abs(k - best)
+
+        def transform(self, df):
+            return df.withColumn("probability", array_to_vector(F.array(*[F.lit(float(i == self.k - 1)) for i in range(self.k)])))
+
+    class Mixture:
+        def __init__(self, k, **_):
+            self.k = k
+
+        def fit(self, df):
+            return Fitted(self.k)
+
+    monkeypatch.setattr(tree, "GaussianMixture", Mixture)
+    monkeypatch.setattr(tree, "_covariance", lambda df: np.eye(2))
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(60)], "id long, embedding array<float>")
+    assert {r["cluster_id"] for r in tree.soft_clusters(df).collect()} == {best - 1}
