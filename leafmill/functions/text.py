@@ -101,7 +101,7 @@ def is_identifier(t: Column) -> Column:
 
 def trigrams(c: Column) -> Column:
     """Distinct trigrams of a text's lower-case words, each padded by two blanks before and one after."""
-    words = F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
+    words = F.filter(F.array_distinct(F.split(F.lower(c), "[^a-z0-9]+")), lambda w: w != "")
     padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
 

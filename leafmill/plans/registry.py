@@ -285,6 +285,12 @@ def trigram_search(spark, d):
     return lexical.trigram(table(spark, d, "benchmark"), "the thing", id_col="item_id").select("id", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH t AS (SELECT doc_id AS id, {TRI.format('text')} AS a, {TRI.format(chr(39) + 'the thing' + chr(39))} AS q FROM documents), s AS (SELECT id, len(list_intersect(a, q))::DOUBLE / greatest(1, len(list_distinct(list_concat(a, q)))) AS score FROM t) SELECT id, round(score, 6) AS score FROM s WHERE score > 0")
+def trigram_search_documents(spark, d):
+    """The same over the whole of documents; ``trigram_search`` keeps its table and SQL."""
+    return lexical.trigram(table(spark, d, "documents"), "the thing").select("id", F.round("score", 6).alias("score"))
+
+
 @query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS t FROM documents) SELECT doc_id, count(*) AS n FROM w WHERE regexp_matches(t, '[0-9]') OR (regexp_matches(t, '[A-Z]') AND t = upper(t) AND length(t) <= 8) GROUP BY doc_id")
 def identifier_tokens(spark, d):
     words = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("t"))

@@ -246,3 +246,18 @@ def test_number_of_clusters_is_sought_among_all(spark, monkeypatch, best):
     monkeypatch.setattr(tree, "_covariance", lambda df: np.eye(2))
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(60)], "id long, embedding array<float>")
     assert {r["cluster_id"] for r in tree.soft_clusters(df).collect()} == {best - 1}
+
+
+def test_trigrams_of_documents_against_brute_force(spark, tmp_path):
+    from leafmill.plans import registry
+
+    def grams(t):
+        return {f"  {w} "[i : i + 3] for w in re.findall("[a-z0-9]+", t.lower()) for i in range(len(w) + 1)}
+
+    rnd = random.Random(4)
+    docs = [(i, " ".join(rnd.choice(["the", "thing", "this", "Think", "x1", "zz", "é"]) for _ in range(rnd.randrange(40)))) for i in range(40)]
+    docs += [(100, "w " * 20_000 + "thing"), (101, ""), (102, "The-Thing"), (103, "q")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    q = grams("the thing")
+    want = {i: round(len(grams(t) & q) / len(grams(t) | q), 6) for i, t in docs if grams(t) & q}
+    assert {r["id"]: r["score"] for r in registry.queries()["trigram_search_documents"](spark, str(tmp_path)).collect()} == want
