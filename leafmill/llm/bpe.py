@@ -1,9 +1,12 @@
 """BPE encoding and decoding as bounded-lookahead transducers.
 
 A merge list fixes how far to the right of a position its fate can depend on: ``sufficient_lookahead``
-computes that number of bytes. The encoder reads a pre-token in windows, and emits the tokens that end that
-far before the window's end; nothing that follows can change them. Working memory is one window, however long
-the pre-token is. The decoder turns bytes into text with a state machine that holds back at most three bytes.
+computes that number of bytes. The encoder reads every pre-token in windows, and emits the tokens that end that
+far before the window's end; nothing that follows can change them. A window that reaches the pre-token's end is stable as a
+whole. Many pre-tokens go through this together, one window of each at a time, and of equal ones (compared by their
+bytes) one does. A long text is read in blocks of characters, and what the next characters may still change is carried over:
+three characters, or an open pre-token's window. So working memory is a block, however long a text or a pre-token is. The
+decoder turns bytes into text with a state machine that holds back at most three bytes.
 """
 
 from __future__ import annotations
@@ -11,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -21,16 +23,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .arrays import powers, spread, tidy
+from .arrays import lane_hashes, lanes, spread, tidy
 
 #: The byte-level scheme's pre-token pattern, and the printable stand-ins for bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-#: Bytes of a window beyond the lookahead; pre-tokens up to SHORT bytes are merged by rescanning.
-WINDOW, SHORT = 2048, 48
-#: Characters of a block.
-BLOCK = 500_000
+#: Bytes of a window beyond the lookahead, and bytes up to which windows are merged side by side in arrays.
+WINDOW, SIDE = 2048, 256
+#: Characters of a block, and how many at its end the next ones may bear on.
+BLOCK, HELD = 500_000, 3
+#: A character of each class that starts no contraction.
+LIKE = "\na1!"
 
 
 def byte_of_char() -> dict[str, int]:
@@ -95,25 +99,8 @@ class Merges:
             self._flat = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size, size
         return self._flat
 
-    def merge_short(self, ids: list[int]) -> list[int]:
-        rule, none = self.rule.get, 1 << 60
-        while len(ids) > 1:
-            best = min([rule((a << 20) | b, none) for a, b in zip(ids, ids[1:])])
-            if best == none:
-                break
-            out, i, n, result = [], 0, len(ids), best & 0xFFFFF
-            while i < n:
-                if i + 1 < n and rule((ids[i] << 20) | ids[i + 1]) == best:
-                    out.append(result)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
-
-    def merge_long(self, ids: list[int]) -> list[int]:
-        """The same with a heap and links, for windows of long pre-tokens."""
+    def merge(self, ids: list[int]) -> list[int]:
+        """Ids after all merges, lowest rule first, leftmost first; with a heap and links."""
         n, rule = len(ids), self.rule.get
         ids, after, before = list(ids), list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i) for i in range(n - 1) if (r := rule((ids[i] << 20) | ids[i + 1])) is not None]
@@ -133,38 +120,17 @@ class Merges:
                 heapq.heappush(heap, (s, h))
         return [x for x in ids if x >= 0]
 
-    def encode_run(self, run: bytes, window: int = WINDOW) -> Iterator[list[int]]:
-        """Ids of one pre-token, emitted in lists as they become stable."""
-        at, end = 0, len(run)
-        while at < end:
-            stop = min(end, at + window + self.lookahead)
-            ids = [self.start[b] for b in run[at:stop]]
-            ids = self.merge_short(ids) if len(ids) <= SHORT else self.merge_long(ids)
-            if stop < end:  # only what ends a whole lookahead before the window's end is stable
-                upto, keep = stop - self.lookahead, 0
-                for k, x in enumerate(ids):
-                    if at + len(self.bytes_of[x]) > upto:
-                        break
-                    at, keep = at + len(self.bytes_of[x]), k + 1
-                ids = ids[:keep]
-                if not ids:  # a window shorter than a token
-                    window *= 2
-                    continue
-            else:
-                at = end
-            yield ids
-
 
 class Encoder:
     """Texts to ids, a block of many texts at a time, with array operations over the block's characters.
 
-    A block is cut into pre-tokens by character classes, equal pre-tokens are merged once, and each block's
-    ids are emitted before the next is read, so memory does not grow with a text or with the corpus. Pre-tokens
-    longer than a window go through ``encode_run`` and its lookahead.
+    A block is cut into pre-tokens by character classes, equal pre-tokens go through the transducer once, and each block's
+    ids are emitted before the next is read, so memory does not grow with a text or with the corpus.
     """
 
-    def __init__(self, merges: Merges):
+    def __init__(self, merges: Merges, window: int = WINDOW):
         self.merges, self.kind = merges, character_classes()
+        self.window, self.size = max(window, merges.width), merges.flat()[2]
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(merges.special, key=len, reverse=True)) + ")") if merges.special else None
         self.start = np.array(merges.start, np.int32)
         self.rules = PairTable(merges.rule)
@@ -192,14 +158,14 @@ class Encoder:
         chars = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         text_ends = np.cumsum(lengths)
         starts = self._pretokens(chars, text_ends)
-        ends = np.append(starts[1:], len(chars))
-        # equal pre-tokens by a hash of their characters
-        power, inverse = powers(len(chars) + 1)
-        sums = np.zeros(len(chars) + 1, np.uint64)
-        np.cumsum((chars + np.uint64(1)) * power[: len(chars)], out=sums[1:])
-        key = (sums[ends] - sums[starts]) * inverse[starts]
-        key ^= (ends - starts).astype(np.uint64) << np.uint64(48)
-        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        out, upto = self._ids(whole, chars, starts, np.append(starts[1:], len(chars)))
+        word_of_text_end = np.searchsorted(starts, text_ends)  # pre-tokens that start before a text's end
+        return out, np.where(word_of_text_end > 0, upto[word_of_text_end - 1], 0)
+
+    def _ids(self, whole: str, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens whole[start:end], which stand one after another, and how many there are up to each one's end."""
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         data = np.frombuffer(whole.encode(), np.uint8)
         wide = np.ones(len(chars), np.int8)
         wide += chars >= 0x80
@@ -207,13 +173,52 @@ class Encoder:
         wide += chars >= 0x10000
         at = np.zeros(len(chars) + 1, np.int64)
         np.cumsum(wide, out=at[1:])
-        ids, count = self._merge(data, at[starts[first]], at[ends[first]])
+        lo, hi = at[starts], at[ends]
+        first, which = self._equal(data, lo, hi)
+        ids, count, _ = self._transduce(data, lo[first], hi[first])
         base = np.cumsum(count) - count
         each = count[which]
-        out = ids[spread(base[which], each)]
-        upto = np.cumsum(each)
-        word_of_text_end = np.searchsorted(starts, text_ends)  # pre-tokens that start before a text's end
-        return out, np.where(word_of_text_end > 0, upto[word_of_text_end - 1], 0)
+        return ids[spread(base[which], each)], np.cumsum(each)
+
+    @staticmethod
+    def _equal(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One of each set of equal pre-tokens, and by pre-token which: by a hash, and then by their bytes."""
+        value, place, count = lanes(data, lo, hi)
+        _, first, which = np.unique(lane_hashes(value, place, count, hi - lo), return_index=True, return_inverse=True)
+        one, base = first[which], np.cumsum(count) - count
+        differ = hi - lo != (hi - lo)[one]
+        like = np.where(differ, 0, count)  # numbers compared
+        off = value[spread(base, like)] != value[spread(base[one], like)]
+        differ[np.repeat(np.arange(len(lo)), like)[off]] = True
+        alone = np.flatnonzero(differ)  # of equal hash, but not equal: on their own
+        which[alone] = len(first) + np.arange(len(alone))
+        return np.concatenate((first, alone)), which
+
+    def _transduce(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, ended: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens data[lo:hi], how many each has, and how far it has been read.
+
+        All of them are read by windows at once; of each window what no byte behind it can change is emitted. Unless
+        they have ``ended``, more bytes may follow, and what those may change is left.
+        """
+        at, live, ahead = lo.copy(), np.arange(len(lo)), self.merges.lookahead
+        done_ids: list[np.ndarray] = [np.zeros(0, np.int32)]
+        done_run: list[np.ndarray] = [np.zeros(0, np.int64)]
+        while len(live):
+            stop = np.minimum(hi[live], at[live] + self.window + ahead)
+            last = stop == hi[live]
+            ids, run = self._merge(data, at[live], stop)
+            upto = np.where(last & ended, stop, stop - ahead)
+            size = self.size[ids]
+            end = np.cumsum(size)
+            before = np.concatenate(([0], end))[np.searchsorted(run, np.arange(len(live)))]
+            stable = at[live][run] + end - before[run] <= upto[run]
+            done_ids.append(ids[stable])
+            done_run.append(live[run[stable]])
+            at[live] += np.bincount(run[stable], size[stable], len(live)).astype(np.int64)
+            live = live[~last]
+        ids, run = np.concatenate(done_ids), np.concatenate(done_run)
+        order = np.argsort(run, kind="stable")
+        return ids[order], np.bincount(run, minlength=len(lo)), at
 
     def _pretokens(self, chars: np.ndarray, text_ends: np.ndarray) -> np.ndarray:
         """Where the pre-tokens of PATTERN start."""
@@ -259,17 +264,15 @@ class Encoder:
                 cut[i] = True
 
     def _merge(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the runs data[lo:hi], and how many each has; all runs take their lowest rule at once, again and again."""
+        """Ids of the windows data[lo:hi] and the window of each, in order; windows side by side take their lowest rule at once, again and again."""
         size = hi - lo
-        long = size > WINDOW
-        count = np.zeros(len(lo), np.int64)
-        done_ids: list[np.ndarray] = []
-        done_run: list[np.ndarray] = []
+        long = size > SIDE
+        done_ids: list[np.ndarray] = [np.zeros(0, np.int32)]
+        done_run: list[np.ndarray] = [np.zeros(0, np.int64)]
         for k in np.flatnonzero(long).tolist():
-            got = np.array([x for part in self.merges.encode_run(data[lo[k] : hi[k]].tobytes()) for x in part], np.int32)
+            got = np.array(self.merges.merge(self.start[data[lo[k] : hi[k]]].tolist()), np.int32)
             done_ids.append(got)
             done_run.append(np.full(len(got), k))
-            count[k] = len(got)
         short = np.flatnonzero(~long)
         ids = self.start[data[spread(lo[short], size[short])]]
         run = np.repeat(short, size[short])
@@ -302,26 +305,53 @@ class Encoder:
             ids, run = ids[stay], run[stay]
         ids, run = np.concatenate(done_ids), np.concatenate(done_run)
         order = np.argsort(run, kind="stable")
-        return ids[order], np.bincount(run, minlength=len(lo))
-
-    def stream(self, text: str, block: int = 1 << 20) -> Iterator[np.ndarray]:
-        """Ids of one text, emitted block by block as they become stable.
-
-        A block ends before a space between two characters that are not white space; there a pre-token
-        starts whatever follows.
+        return ids[order], run[order]
+
+    def stream(self, text: str, block: int = BLOCK) -> Iterator[np.ndarray]:
+        """Ids of one text, emitted block by block as they become stable; any text, whatever it is made of."""
+        at = 0
+        for m in self.special.finditer(text) if self.special else ():
+            yield from self._stream(text, at, m.start(), block)
+            yield np.array([self.merges.special[m[0]]], np.int32)
+            at = m.end()
+        yield from self._stream(text, at, len(text), block)
+
+    def _stream(self, text: str, at: int, end: int, block: int) -> Iterator[np.ndarray]:
+        """The same for text[at:end] without special tokens.
+
+        State between blocks: the characters from the last sure start of a pre-token on; or, where a pre-token fills a whole
+        block, its class and those of its bytes that are not stable yet.
         """
-        at, cut = 0, re.compile(r"(?<=\S) (?=\S)")
-        parts = self.special.split(text) if self.special else [text]
-        for part in parts:
-            at = 0
-            while at < len(part):
-                if part in self.merges.special:
-                    end = len(part)
-                else:
-                    m = cut.search(part, at + block) if len(part) - at > block else None
-                    end = m.start() if m else len(part)
-                yield self.ids([part[at:end]])[0]
-                at = end
+        carry, tail, like = "", None, ""
+        while at < end:
+            upto = min(end, at + block)
+            whole, at = like + carry + text[at:upto], upto
+            chars = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+            cuts, sure = self._pretokens(chars, np.array([len(chars)])), len(chars) - HELD
+            if at == end:
+                sure = len(chars)
+                cuts = np.append(cuts, sure)
+            cuts = cuts[(cuts >= len(like)) & (cuts <= sure)]
+            if tail is not None and (len(cuts) or sure > 1):  # the open pre-token goes on to the first cut
+                stop = int(cuts[0]) if len(cuts) else sure
+                ids, tail = self._go_on(tail + whole[1:stop].encode(), len(cuts) > 0)
+                yield ids
+                if not len(cuts):
+                    carry = whole[stop:]
+                    continue
+                like = ""
+            if len(cuts) > 1:
+                yield self._ids(whole[: cuts[-1]], chars[: cuts[-1]], cuts[:-1], cuts[1:])[0] if not cuts[0] else self._ids(whole[cuts[0] : cuts[-1]], chars[cuts[0] : cuts[-1]], cuts[:-1] - cuts[0], cuts[1:] - cuts[0])[0]
+            carry = whole[cuts[-1] :] if len(cuts) else whole[len(like) :]
+            if len(cuts) == 1 and at < end and tail is None and sure > cuts[0]:  # one pre-token from here on
+                ids, tail = self._go_on(whole[cuts[0] : sure].encode(), False)
+                yield ids
+                carry, like = whole[sure:], LIKE[self.kind[chars[sure]]]
+
+    def _go_on(self, data: bytes, ended: bool) -> tuple[np.ndarray, bytes | None]:
+        """Stable ids of a pre-token's bytes, and the rest of them."""
+        ids, _, at = self._transduce(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]), ended)
+        return ids, None if ended else data[int(at[0]) :]
 
 
 class PairTable:
@@ -432,17 +462,18 @@ def blocks(texts: Iterable[str | None], chars: int) -> Iterator[list[str]]:
         yield out
 
 
-def digests(encoder: Encoder, texts: list[str], block: int = BLOCK) -> Iterator[tuple[int, str, str, np.ndarray]]:
-    """Number of ids, SHA-256 of the ids, SHA-256 of the text decoded from them, and the ids, by text."""
+def digests(encoder: Encoder, texts: list[str], block: int = BLOCK, keep: bool = True) -> Iterator[tuple[int, str, str, np.ndarray | None]]:
+    """Number of ids, SHA-256 of the ids, SHA-256 of the text decoded from them, and with ``keep`` the ids, by text."""
     if len(texts) == 1 and len(texts[0]) > block:  # a long text goes through in blocks
         ids, back, n, decoder, kept = hashlib.sha256(), hashlib.sha256(), 0, Decoder(encoder.merges), []
         for part in encoder.stream(texts[0], block):
             ids.update(part.astype("<u4").tobytes())
             back.update(decoder.feed(part).encode())
-            kept.append(part)
+            if keep:
+                kept.append(part)
             n += len(part)
         back.update(decoder.feed(np.zeros(0, np.int64), last=True).encode())
-        yield n, ids.hexdigest(), back.hexdigest(), np.concatenate(kept)
+        yield n, ids.hexdigest(), back.hexdigest(), np.concatenate(kept) if keep else None
         return
     flat, ends = encoder.ids(texts)
     raw = flat.astype("<u4")
@@ -460,7 +491,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row's whole text; with ``ids`` also the ids.
 
     ``path`` is a tokenizer file that all workers can open. Null texts count as empty (0 tokens); ids may be
-    null or repeat, each row gives a row. Other columns are not read. Nothing is shuffled.
+    null or repeat, each row gives a row; an empty table gives an empty result. Other columns are not read. Nothing is
+    shuffled. A very long text is read in blocks; only its ids, if they are wanted, are held as a whole.
     """
     path = path or default_path()
 
@@ -472,7 +504,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
             for texts in blocks((x.as_py() for x in batch.column(1)), BLOCK):
                 # a long text is alone in its block, or else last in it
                 groups = [texts[:-1], texts[-1:]] if len(texts[-1]) > BLOCK else [texts]
-                rows = [r for g in groups if g for r in digests(encoder, g)]
+                rows = [r for g in groups if g for r in digests(encoder, g, keep=ids)]
                 cols = [keys[at : at + len(rows)], pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if ids:

@@ -7,6 +7,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a staged table is broadcast; wider keys than a few numbers do not go this way.
+BROADCAST_ROWS = 1_000_000
+#: Parts of which a key that may be hot is dealt.
+SALTS = 64
 
 _ROOTS: dict[str, str] = {}
 _STAGED: list[tuple[SparkSession, str]] = []
@@ -68,6 +74,21 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df``, a staged table of few narrow columns, marked for broadcast if it is small; else joins with it shuffle."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
+
+
+def salted(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, of which one value may have most of the rows of ``left``.
+
+    Rows of a key are dealt in ``SALTS`` parts by a hash of the column ``spread``, and each row of ``right`` (one a key)
+    goes to all of them. For right sides that have far fewer rows than the left.
+    """
+    many = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("__salt", F.pmod(F.xxhash64(spread, F.lit(5)), F.lit(SALTS)).cast("int")).join(many, [key, "__salt"], how).drop("__salt")
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
     if path := getattr(df, "_leafmill_path", None):

@@ -2,17 +2,23 @@
 
 Every permutation of the shingles gives two signature values, the minimum and the maximum, so 120 values cost
 60 evaluations a shingle. 24 bands of 5 values nominate candidates: a pair at similarity 0.8 shares a band
-with probability 0.9999. Documents with equal shingle sets collapse to one before that. Documents joined
-through shared bands make a family; every family's pairs are then confirmed on the full sets, in blocks of
-bounded size and without emitting the pairs: a block emits a spanning forest of its links.
-
-Large families do not compare all blocks with all: first every block is compared with itself and with the
-family's most central set, which settles near copies of one text in one pass; then only sets that are not in
-the family's largest component are compared with the rest of it, so what is left out cannot change a component.
+with probability 0.9999. Documents with equal shingle sets collapse to one before that; a set's 128-bit digest
+stands for it. Sets joined through shared bands make a family. Pairs are confirmed on the full sets, in blocks
+of bounded numbers of sets and of shingles, and without emitting the pairs: a block emits a spanning forest of its links.
+
+A family that fits in a block is compared in full. Of a larger one every block is compared with itself and with the
+family's most central set, which settles near copies of one text in one pass. After that, only bands whose sets are not
+yet connected are left: in each, the sets outside its largest component are compared with all of the band. What is
+left out cannot change a component, so the work grows with bands and not with families.
+
+Texts are hashed once for the signatures. The sets of candidates are computed again from their texts, which
+the scan looks up by a hash of the text; only candidates' texts are shuffled, unless the candidates are too many to be broadcast.
+The longest text needs about 25 bytes of memory a byte.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, MIX, buffers, mixed, segment_hashes, slices, words, tidy
-from .common import fresh, stage
+from .common import fresh, salted, small, stage
 from .graph import components
 
 PERMUTATIONS, BANDS, ROWS = 60, 24, 5
-#: Sets in a block; a task compares two blocks at most.
-BLOCK = 128
+#: Sets in a block, and shingles of a block's sets on average; a task compares two blocks at most.
+BLOCK, BLOCK_SHINGLES = 128, 1 << 20
 #: Bytes of text in work at a time, and shingles in work at a time.
 TEXT, PART = 500_000, 1 << 15
 ODD = mixed(np.arange(1, 513, dtype=np.uint64)) | np.uint64(1)
@@ -51,11 +57,13 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> Iterator[np.ndarra
             yield np.zeros(0, np.uint64)
 
 
-def set_key(hashes: np.ndarray) -> int:
-    """A 64-bit key of a set; equal keys are taken for equal sets (a chance of n * n / 2**65 for n sets)."""
-    x = mixed(hashes * MIX[1])
-    key = mixed(x.sum(keepdims=True) + np.bitwise_xor.reduce(x, keepdims=True) * MIX[0] + np.array([len(x)], np.uint64))
-    return int(key.view(np.int64)[0])
+def set_key(hashes: np.ndarray) -> bytes:
+    """A digest of a sorted set."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def text_key(text: F.Column) -> F.Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def signatures(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -85,12 +93,12 @@ def signatures(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) ->
 
 
 def features(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, fp (null for an empty set) and bands of every row."""
+    """doc_id, t (a hash of the text), n_shingles, fp (null for an empty set) and bands of every row."""
 
     @tidy
     def run(batches):
         for batch in batches:
-            data, at = buffers(batch.column(1))
+            data, at = buffers(batch.column(2))
             for i, j in slices(at, TEXT):
                 sets = list(shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], k))
                 full = [s for s in sets if len(s)]
@@ -98,29 +106,42 @@ def features(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                 it = iter(zip(map(set_key, full), keys))
                 got = [next(it) if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "fp", "bands"],
+                    [batch.column(0)[i:j], batch.column(1)[i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.int64()))],
+                    names=["doc_id", "t", "n_shingles", "fp", "bands"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(run, f"doc_id {kind}, n_shingles long, fp long, bands array<long>")
+    return docs.select(docs[id_col], text_key(docs[text_col]), docs[text_col].cast("string")).mapInArrow(run, f"doc_id {kind}, t long, n_shingles long, fp binary, bands array<long>")
 
 
-def with_sets(named: DataFrame, k: int, carry: list[str], schema: str) -> DataFrame:
-    """fp and set of each row's text, beside the columns ``carry``."""
+def with_sets(named: DataFrame, k: int) -> DataFrame:
+    """node, family, block and the set of each row (fp, node, family, block, text) whose text has the set ``fp``."""
 
     @tidy
     def run(batches):
         for batch in batches:
-            data, at = buffers(batch.column(len(carry)))
+            data, at = buffers(batch.column(4))
             for i, j in slices(at, TEXT):
                 sets = list(shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], k))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c)[i:j] for c in range(len(carry))] + [pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=[*carry, "key", "members"],
-                )
+                same = [r for r, s in enumerate(sets) if len(s) and set_key(s) == batch.column(0)[i + r].as_py()]
+                take = pa.array([i + r for r in same], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in (1, 2, 3)] + [pa.array([sets[r].tobytes() for r in same], pa.binary())], names=["node", "family", "block", "members"])
 
-    return named.mapInArrow(run, f"{schema}, key long, members binary")
+    return named.mapInArrow(run, "node long, family long, block int, members binary")
+
+
+def candidate_sets(docs: DataFrame, named: DataFrame, k: int, text_col: str) -> DataFrame:
+    """node, family, block, members for the staged candidates ``named`` (t, fp, node, family, block)."""
+    text = docs.select(text_key(docs[text_col]).alias("t"), F.xxhash64(F.lit(3), docs[text_col].cast("string")).alias("u"), docs[text_col].cast("string").alias("text"))
+    cols = ["fp", "node", "family", "block"]
+    few = small(named)
+    if few is not named:
+        # copies of a text are combined in the tasks that read them
+        return stage(with_sets(text.join(few, "t").groupBy("t", "u", *cols).agg(F.any_value("text").alias("text")).select(*cols, "text"), k), "candidates")
+    once = text.groupBy("t").agg(F.any_value("text").alias("text"))
+    sets = stage(with_sets(once.join(named, "t").select(*cols, "text"), k), "candidates")
+    lost = stage(named.join(sets.select("node"), "node", "left_anti"), "lost")  # another text had the same hash
+    return sets if lost.isEmpty() else sets.unionByName(candidate_sets(docs, lost, k, text_col))
 
 
 def linked(sets: list[np.ndarray], percent: int, part: int = 1 << 14) -> np.ndarray:
@@ -165,68 +186,82 @@ def forest(ok: np.ndarray) -> list[tuple[int, int]]:
 
 
 def confirm(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """a, b: links confirmed within each group of rows (fp, members), as a spanning forest of the group."""
+    """a, b: links confirmed within each group of rows (node, members), as a spanning forest of the group."""
 
     def run(group: pa.Table) -> pa.Table:
-        fps = group.column("fp").to_pylist()
-        seen = {f: i for i, f in enumerate(fps)}  # a set may come twice, as member and as centre
-        fps, at = list(seen), list(seen.values())
+        nodes = group.column("node").to_pylist()
+        seen = {f: i for i, f in enumerate(nodes)}  # a set may come twice, as member and as centre
+        nodes, at = list(seen), list(seen.values())
         members = group.column("members")
         pairs = []
-        if len(fps) > 1:
+        if len(nodes) > 1:
             pairs = forest(linked([np.frombuffer(members[i].as_py(), np.uint64) for i in at], percent))
-        return pa.table({"a": pa.array([fps[i] for i, _ in pairs], pa.int64()), "b": pa.array([fps[j] for _, j in pairs], pa.int64())})
+        return pa.table({"a": pa.array([nodes[i] for i, _ in pairs], pa.int64()), "b": pa.array([nodes[j] for _, j in pairs], pa.int64())})
 
     return rows.groupBy(*keys).applyInArrow(run, "a long, b long")
 
 
+def n_blocks(sets: F.Column, shingles: F.Column, block: int) -> F.Column:
+    return F.greatest(F.ceil(sets / block), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(rows, sets): rows has doc_id, n_shingles and fp of every row; sets has fp and component_id of every set.
+    """(rows, sets): rows has doc_id, t, n_shingles and fp of every row; sets has fp, root, component_id and n_docs of every set.
 
     Words are runs of characters other than space and 09-0D, with A-Z lower-cased. component_id is the
     smallest doc_id among rows whose sets are connected by links, null if all their ids are null.
     """
     rows = stage(features(docs, k, id_col, text_col), "features")
-    reps = stage(rows.where("fp IS NOT NULL").groupBy("fp", "bands").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_rows")), "sets")
-    banded = reps.select("fp", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("n")).where("n > 1")
+    reps = rows.where("fp IS NOT NULL").groupBy("fp", "bands", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.min("t").alias("t"), F.count("*").alias("n_rows"))
+    reps = stage(reps.withColumn("node", F.monotonically_increasing_id()), "sets")
+    banded = reps.select("node", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("n > 1")
     buckets = stage(buckets, "buckets")
-    more = stage(banded.join(buckets.where("n > 2"), "band").select("fp", "low", "n"), "members")
-    near = buckets.select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(more.select(F.col("low").alias("a"), F.col("fp").alias("b")))
-    families = stage(components(near).select(F.col("node").alias("fp"), F.col("root").alias("family")), "families")
-    # the most central set of a family that may be split
-    weight = more.groupBy("fp").agg(F.sum("n").alias("weight"))
-    sizes = families.groupBy("family").agg(F.count("*").alias("n_sets"))
-    large = sizes.where(F.col("n_sets") > block).select("family", F.ceil(F.col("n_sets") / block).cast("int").alias("n_blocks"))
-    scored = families.join(weight, "fp").join(large, "family")
-    centres = scored.groupBy("family", "n_blocks").agg(F.max_by("fp", F.struct("weight", "fp")).alias("fp"))
-    placed = families.join(large, "family", "left").select("fp", "family", F.when(F.col("n_blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("n_blocks"))).cast("int").alias("block"))
-    named = placed.join(reps.select("fp", "doc_id"), "fp")
-    text = docs.select(docs[id_col].alias("__id"), docs[text_col].cast("string").alias("__text"))
-    joined = text.join(named.hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("doc_id"))).select("fp", "family", "block", "__text")
-    sets = with_sets(joined, k, ["fp", "family", "block"], "fp long, family long, block int").where("key = fp").drop("key")
-    sets = stage(sets, "candidates")
+    more = stage(banded.join(buckets.where("n > 2"), "band").select("node", "low", "n"), "members")
+    near = buckets.select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(more.select(F.col("low").alias("a"), F.col("node").alias("b")))
+    families = components(near).select("node", F.col("root").alias("family")).join(reps.select("node", "fp", "t", "n_shingles"), "node")
+    families = stage(families, "families")
+    sizes = families.groupBy("family").agg(F.count("*").alias("n_sets"), F.sum("n_shingles").alias("total"))
+    large = sizes.select("family", n_blocks(F.col("n_sets"), F.col("total"), block).alias("n_blocks")).where("n_blocks > 1")
+    placed = stage(salted(families, stage(large, "large"), "family", "node", "left"), "placed")
+    # the most central set of a family that is split
+    weight = more.groupBy("node").agg(F.sum("n").alias("weight"))
+    split = placed.where("n_blocks IS NOT NULL")
+    centres = split.join(weight, "node").groupBy("family", "n_blocks").agg(F.max_by("node", F.struct("weight", "node")).alias("node"))
+    of_node = F.when(F.col("n_blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("n_blocks"))).cast("int")
+    sets = candidate_sets(docs, stage(placed.select("t", "fp", "node", "family", of_node.alias("block")), "named"), k, text_col)
     # every block with itself and with the family's centre
-    centre = sets.join(centres.select("fp", "n_blocks"), "fp").select("fp", "family", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "members")
+    centre = sets.drop("block").join(centres.select("node", "n_blocks"), "node").select("node", "family", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "members")
     joint = stage(components(confirm(sets.unionByName(centre), ["family", "block"], percent)), "joint")
-    # sets outside the largest component of a family that was split, with all of the family
-    parts = families.join(large, "family").join(joint, F.col("fp") == F.col("node"), "left").select("fp", "family", F.coalesce("root", "fp").alias("part"))
-    counted = parts.groupBy("family", "part").agg(F.count("*").alias("n"))
-    main = counted.groupBy("family").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("n_all"), F.max("n").alias("n_main"))
-    plan = main.where("n_all > n_main").select(
-        "family", "main", F.ceil((F.col("n_all") - F.col("n_main")) / block).cast("int").alias("n_out"), F.ceil(F.col("n_all") / block).cast("int").alias("n_in")
-    )
-    todo = stage(parts.join(plan, "family").select("fp", "main", "part", "n_out", "n_in"), "outside")
-    if not todo.isEmpty():
-        todo = sets.join(todo, "fp")
-        h = F.xxhash64("fp", F.lit(1))
-        outs = todo.where("part <> main").select("fp", "family", F.pmod(h, "n_out").alias("o"), F.explode(F.sequence(F.lit(0), F.col("n_in") - 1)).alias("i"), "members")
-        ins = todo.select("fp", "family", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("o"), F.pmod(h, "n_in").cast("int").alias("i"), "members")
-        rest = confirm(outs.select("fp", "family", F.col("o").cast("int").alias("o"), "i", "members").unionByName(ins), ["family", "o", "i"], percent)
+    open_ = stage(open_bands(split.select("node", "n_shingles"), reps, joint, block), "open")
+    if not open_.isEmpty():
+        todo = sets.select("node", "members").join(open_, "node")
+        h = F.xxhash64("node", F.lit(1))
+        outs = todo.where("outside").select("node", "band", F.pmod(h, "n_out").cast("int").alias("o"), F.explode(F.sequence(F.lit(0), F.col("n_in") - 1)).alias("i"), "members")
+        ins = todo.select("node", "band", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("o"), F.pmod(h, "n_in").cast("int").alias("i"), "members")
+        rest = confirm(outs.unionByName(ins), ["band", "o", "i"], percent)
         joint = stage(components(joint.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)), "joint")
-    rooted = reps.select("fp", "doc_id", "n_rows").join(joint, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", "n_rows", F.coalesce("root", "fp").alias("root"))
+    rooted = reps.select("node", "fp", "doc_id", "n_rows").join(joint, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("n_rows").alias("n_docs"))
-    return rows.select("doc_id", "n_shingles", "fp"), rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id", "n_docs")
+    return rows.select("doc_id", "t", "n_shingles", "fp"), rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id", "n_docs")
+
+
+def open_bands(nodes: DataFrame, reps: DataFrame, joint: DataFrame, block: int) -> DataFrame:
+    """node, band, outside, n_out, n_in: the sets of each band that is not one component yet; of bands with the same sets, one."""
+    parts = nodes.join(joint, "node", "left").select("node", "n_shingles", F.coalesce("root", "node").alias("part"))
+    inside = parts.join(reps.select("node", "bands"), "node").select("node", "n_shingles", "part", F.explode("bands").alias("band"))
+    inside = stage(inside, "inside")
+    marks = [F.sum(F.xxhash64("node", F.lit(x)).cast("decimal(38,0)")).alias(f"mark{x}") for x in (1, 2)]
+    mixed_ = inside.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"), F.sum("n_shingles").alias("total"), *marks).where("low <> high")
+    chosen = mixed_.groupBy("n", "total", "mark1", "mark2").agg(F.min("band").alias("band"))
+    chosen = stage(chosen.select("band", "n", "total"), "mixed")
+    members = stage(salted(inside, chosen, "band", "node"), "mixed-members")
+    counted = members.groupBy("band", "part").agg(F.count("*").alias("n_part"), F.sum("n_shingles").alias("t_part"))
+    main = counted.groupBy("band").agg(F.max_by(F.struct("part", "n_part", "t_part"), F.struct("n_part", "part")).alias("m"))
+    plan = chosen.join(main, "band").select(
+        "band", F.col("m.part").alias("main"), n_blocks(F.col("n") - F.col("m.n_part"), F.col("total") - F.col("m.t_part"), block).alias("n_out"), n_blocks(F.col("n"), F.col("total"), block).alias("n_in")
+    )
+    return salted(members.select("node", "band", "part"), stage(plan, "plan"), "band", "node").select("node", "band", (F.col("part") != F.col("main")).alias("outside"), "n_out", "n_in")
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,30 +281,26 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     """The rows of ``docs`` that stay, with all their columns: of each component the row with the smallest id.
 
     Texts without shingles all stay. Of rows that share the smallest id, or of a component without any id,
-    one stays.
+    one stays. Rows that go are told by id and a hash of the text: texts are not shuffled for it, unless those rows are
+    too many to be broadcast.
     """
-    _, sets = near_components(docs, k, percent, id_col, text_col)
-    fp, root = fresh(docs, "fp"), fresh(docs, "root")
-    several = sets.where("n_docs > 1").select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(root + "_id"))
-    several = stage(several, "several")
-    n, names = len(docs.columns), [*docs.columns, fp]
-    where_text = docs.columns.index(text_col)
-
-    @tidy
-    def run(batches):
-        for batch in batches:
-            data, at = buffers(batch.column(where_text).cast(pa.large_string()))
-            for i, j in slices(at, TEXT):
-                keys = [set_key(s) if len(s) else None for s in shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], k)]
-                yield pa.RecordBatch.from_arrays([batch.column(c)[i:j] for c in range(n)] + [pa.array(keys, pa.int64())], names=names)
-
-    from pyspark.sql.types import LongType, StructType
-
-    keyed = docs.mapInArrow(run, StructType([*docs.schema.fields]).add(fp, LongType()))
-    joined = keyed.join(several.hint("shuffle_hash"), fp, "left")
-    alone = joined.where(F.col(root).isNull())
-    first = joined.where(F.col(root).isNotNull() & F.col(id_col).eqNullSafe(F.col(root + "_id"))).dropDuplicates([root])
-    return alone.unionByName(first).select(*docs.columns)
+    rows, sets = near_components(docs, k, percent, id_col, text_col)
+    several = sets.where("n_docs > 1")
+    mine = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    met = rows.join(several, "fp").groupBy("root", "component_id", "doc_id", "t").agg(F.count("*").alias("n"))
+    best = met.where(mine).groupBy("root").agg(F.min("t").alias("best"))
+    met = stage(met.join(best, "root").select("doc_id", "t", "n", (mine & (F.col("t") == F.col("best"))).alias("stays")), "met")
+    lost, twice = stage(met.where("NOT stays").select("doc_id", "t"), "lost"), stage(met.where("stays AND n > 1").select("doc_id", "t"), "twice")
+    key, named = fresh(docs, "t"), (fresh(docs, "few_id"), fresh(docs, "few_t"))
+    keyed = docs.withColumn(key, text_key(docs[text_col]))
+
+    def among(df: DataFrame, few: DataFrame, how: str) -> DataFrame:
+        return df.join(small(few).toDF(*named), F.col(id_col).eqNullSafe(F.col(named[0])) & (F.col(key) == F.col(named[1])), how)
+
+    out = among(keyed, lost, "left_anti")
+    if not twice.isEmpty():  # rows that repeat their id and text
+        out = among(out, twice, "left_anti").unionByName(among(out, twice, "left_semi").dropDuplicates([id_col, key]))
+    return out.select(*docs.columns)
 
 
 def op5_minhash(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, chat, exact, graph, lines, minhash, mixing, pii, pq, quality, tokencount
+from leafmill.llm import bpe, chat, common, exact, graph, lines, minhash, mixing, pii, pq, quality, tokencount
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __digest string, label int"
 
@@ -108,6 +108,44 @@ def test_near_groups_are_exact_components(spark, k):
     assert got == near_want(rows, k)
 
 
+def twins(n):
+    """Two words that sums of powers of any odd number cannot tell apart."""
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_near_groups_tell_twin_words_apart(spark, n):
+    a, b = twins(n)
+    rows = [(1, f"{a} {a}"), (2, f"{b} {b}"), (3, a), (4, b), (5, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_groups(docs, k=2).collect()) == near_want(rows, 2)
+    assert sorted(r["doc_id"] for r in minhash.near_dedup(docs).collect()) == [1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("rows_broadcast", [0, 1_000_000])
+def test_near_groups_of_many_unnamed_and_repeated_rows(spark, monkeypatch, rows_broadcast):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows_broadcast)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(None, " ".join(base[: 190 + i % 11])) for i in range(1000)] + [(7, " ".join(base))] * 1000 + [(8, "other words here")] * 3 + [(None, "lone text here")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = minhash.near_groups(docs, k=2)
+    assert Counter((r["doc_id"], r["component_id"]) for r in got.collect()) == Counter({(None, 7): 1000, (7, 7): 1000, (8, 8): 3, (None, None): 2})
+    assert sorted(map(str, (r["doc_id"] for r in minhash.near_dedup(docs, k=2).collect()))) == ["7", "8", "None"]
+
+
+def test_bands_that_blocks_leave_open(spark):
+    # two chains of copies: links between blocks are needed beyond those of the most central set
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(base[i * 4 : i * 4 + 60])) for i in range(80)] + [(1000 + i, " ".join(base[:60] + [f"x{i}"])) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows_, sets = minhash.near_components(docs, k=2, block=4)
+    got = {r["doc_id"]: r["component_id"] for r in rows_.join(sets, "fp").collect()}
+    assert Counter((i, got[i]) for i, _ in rows) == Counter({(i, c): n for (i, _, c), n in near_want(rows, 2).items()})
+
+
 def test_near_dedup_keeps_one_row_of_each_component(spark):
     rows = near_rows()
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, fp int")
@@ -355,8 +393,13 @@ def test_bpe_matches_the_library(spark):
         ids = t.encode(x, add_special_tokens=False).ids
         assert flat[at:end].tolist() == ids
         at = end
-    for x in texts[:50]:
-        assert np.concatenate([*e.stream(x * 40, 64), np.zeros(0, np.int32)]).tolist() == t.encode(x * 40, add_special_tokens=False).ids
+    for x in [*texts[:100], "a" * 60, " " * 50 + "b", "'" * 30 + "s" * 40, "日本" * 20, "x 's\n\ny"]:
+        for block in (7, 64):
+            assert np.concatenate([*e.stream(x * 20, block), np.zeros(0, np.int32)]).tolist() == t.encode(x * 20, add_special_tokens=False).ids
+    for n in (512, 1024, 2048, 4096):
+        both = [*twins(n), " ".join(twins(n))]
+        flat, ends = e.ids(both)
+        assert [flat[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == [t.encode(x, add_special_tokens=False).ids for x in both]
     df = spark.createDataFrame([(1, "a <|endoftext|> é🙂", 0), (2, None, 0), (2, "", 0), (None, "x" * 100_000, 0)], "doc_id long, text string, n_tokens int")
     got = bpe.encode_documents(df, ids=True)
     for r in got.collect():
@@ -369,10 +412,19 @@ def test_bpe_matches_the_library(spark):
 def test_windows_of_a_long_run_change_nothing():
     m = bpe.merges_at(bpe.default_path())
     rnd = random.Random(5)
-    run = "".join(rnd.choice("etaoinshr") for _ in range(6000)).encode()
-    whole = m.merge_long([m.start[b] for b in run])
-    for window in (1, 64, 500):
-        assert [x for part in m.encode_run(run, window) for x in part] == whole
+    run = "".join(rnd.choice("etaoinshr") for _ in range(6000))
+    whole = m.merge([m.start[b] for b in run.encode()])
+    for window in (1, 200, 500):
+        assert bpe.Encoder(m, window).ids([run])[0].tolist() == whole
+        assert np.concatenate(list(bpe.Encoder(m, window).stream(run, 900))).tolist() == whole
+
+
+def test_equal_hashes_of_unequal_pretokens(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, text = Tokenizer.from_file(bpe.default_path()), "one two tow six longer words one two"
+    monkeypatch.setattr(bpe, "lane_hashes", lambda value, place, count, size: np.zeros(len(count), np.uint64))
+    assert bpe.Encoder(bpe.merges_at(bpe.default_path())).ids([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def test_decoder_holds_back_open_characters():
