@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a staged table is broadcast; wider keys than a few numbers do not go this way.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a staged table of few narrow columns is broadcast; rows from which a key counts as hot.
+BROADCAST_ROWS, HOT = 500_000, 1000
 #: Parts of which a key that may be hot is dealt.
 SALTS = 64
 
@@ -89,6 +89,18 @@ def salted(left: DataFrame, right: DataFrame, key: str, spread: str, how: str =
     return left.withColumn("__salt", F.pmod(F.xxhash64(spread, F.lit(5)), F.lit(SALTS)).cast("int")).join(many, [key, "__salt"], how).drop("__salt")
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
+    """``left`` joined with the staged ``right`` on ``key``, which has one row a key and tells in ``count`` how many ``left`` has of it.
+
+    Hot keys, of which there are at most ``left``'s rows by ``HOT``, do not shuffle ``left`` if they are few enough to be broadcast.
+    """
+    hot = stage(right.where(F.col(count) > HOT), "hot")
+    if hot.isEmpty():
+        return left.join(right, key)
+    few = small(hot)
+    return left.join(few, key).unionByName(left.join(few.select(key), key, "left_anti").join(right.where(F.col(count) <= HOT), key))
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
     if path := getattr(df, "_leafmill_path", None):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, MIX, buffers, mixed, segment_hashes, slices, words, tidy
-from .common import fresh, salted, small, stage
+from .common import fresh, join_hot, salted, small, stage
 from .graph import components
 
 PERMUTATIONS, BANDS, ROWS = 60, 24, 5
@@ -206,7 +206,7 @@ def n_blocks(sets: F.Column, shingles: F.Column, block: int) -> F.Column:
 
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(rows, sets): rows has doc_id, t, n_shingles and fp of every row; sets has fp, root, component_id and n_docs of every set.
+    """(rows, sets): rows has doc_id, t, n_shingles and fp of every row; sets has fp, root, n_rows, component_id and n_docs of every set.
 
     Words are runs of characters other than space and 09-0D, with A-Z lower-cased. component_id is the
     smallest doc_id among rows whose sets are connected by links, null if all their ids are null.
@@ -241,9 +241,12 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         ins = todo.select("node", "band", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("o"), F.pmod(h, "n_in").cast("int").alias("i"), "members")
         rest = confirm(outs.unionByName(ins), ["band", "o", "i"], percent)
         joint = stage(components(joint.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)), "joint")
-    rooted = reps.select("node", "fp", "doc_id", "n_rows").join(joint, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("n_rows").alias("n_docs"))
-    return rows.select("doc_id", "t", "n_shingles", "fp"), rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id", "n_docs")
+    rooted = reps.select("node", "fp", "doc_id", "n_rows").join(joint, "node", "left")
+    alone = rooted.where("root IS NULL").select("fp", F.col("node").alias("root"), "n_rows", F.col("doc_id").alias("component_id"), F.col("n_rows").alias("n_docs"))
+    linked_ = stage(rooted.where("root IS NOT NULL").select("fp", "root", "doc_id", "n_rows"), "rooted")
+    smallest = stage(linked_.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("n_rows").alias("n_docs"), F.count("*").alias("n_sets")), "components")
+    sets = join_hot(linked_.select("fp", "root", "n_rows"), smallest, "root", "n_sets").select(*alone.columns).unionByName(alone)
+    return rows.select("doc_id", "t", "n_shingles", "fp"), stage(sets, "settled")
 
 
 def open_bands(nodes: DataFrame, reps: DataFrame, joint: DataFrame, block: int) -> DataFrame:
@@ -272,9 +275,9 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     table gives an empty result; other columns are not read.
     """
     rows, sets = near_components(docs, k, percent, id_col, text_col)
-    out = rows.join(sets, "fp", "left")
-    component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = join_hot(rows.where("fp IS NOT NULL"), sets.select("fp", "n_rows", "component_id"), "fp", "n_rows").select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(rows.where("fp IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,7 +290,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     rows, sets = near_components(docs, k, percent, id_col, text_col)
     several = sets.where("n_docs > 1")
     mine = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    met = rows.join(several, "fp").groupBy("root", "component_id", "doc_id", "t").agg(F.count("*").alias("n"))
+    met = join_hot(rows, several, "fp", "n_rows").groupBy("root", "component_id", "doc_id", "t").agg(F.count("*").alias("n"))
     best = met.where(mine).groupBy("root").agg(F.min("t").alias("best"))
     met = stage(met.join(best, "root").select("doc_id", "t", "n", (mine & (F.col("t") == F.col("best"))).alias("stays")), "met")
     lost, twice = stage(met.where("NOT stays").select("doc_id", "t"), "lost"), stage(met.where("stays AND n > 1").select("doc_id", "t"), "twice")

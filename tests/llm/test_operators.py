@@ -125,7 +125,7 @@ def test_near_groups_tell_twin_words_apart(spark, n):
     assert sorted(r["doc_id"] for r in minhash.near_dedup(docs).collect()) == [1, 2, 3, 4]
 
 
-@pytest.mark.parametrize("rows_broadcast", [0, 1_000_000])
+@pytest.mark.parametrize("rows_broadcast", [0, 500_000])
 def test_near_groups_of_many_unnamed_and_repeated_rows(spark, monkeypatch, rows_broadcast):
     monkeypatch.setattr(common, "BROADCAST_ROWS", rows_broadcast)
     base = [f"w{i}" for i in range(200)]
