@@ -309,12 +309,18 @@ def mix_targets(sizes, weights=(5, 2, 1)):
         full |= more
 
 
+def mix_digest(docs, **how):
+    """Rows of a mix's plan with their shards, as op1_mixing gives them."""
+    rows, blocks, extras, _ = mixing.plan(docs, "doc_id", "text", "source", **how)
+    return mixing.shards_of(rows, mixing.dealt(blocks, None)[0], extras, "source", "block", "tag", "shards").withColumn("copies", F.size("shards")).collect()
+
+
 def test_mix_meets_targets(spark):
     rnd = random.Random(8)
     rows = [(1000 + i, " ".join(["w"] * rnd.randrange(1, 60)), rnd.choice(["a", "a", "a", "b", "B", "é", None])) for i in range(500)] + odd_rows()
+    rows += [(5, "ten words " * 5, "r")] * 400 + [(i, None, "empty") for i in range(3000, 3200)] + [(3500, "w " * 50, "empty")]
     docs = table(spark, rows)
-    got, blocks = mixing.plan(docs, "doc_id", "text", "source")
-    got = got.collect()
+    got = mix_digest(docs)
     assert len(got) == len(rows)
     sizes, taken = Counter(), Counter()
     for r in got:
@@ -322,14 +328,23 @@ def test_mix_meets_targets(spark):
         taken[r["source"]] += r["size"] * r["copies"]
         assert 0 <= r["copies"] <= 2
     want = mix_targets(sizes)
-    assert {r["source"]: round(r["target"], 6) for r in got} == {s: round(t, 6) for s, t in want.items()}
+    assert {r["source"]: round(r["__target"], 6) for r in got} == {s: round(t, 6) for s, t in want.items()}
+    assert {r["source"]: r["__source_size"] for r in got} == sizes
     longest = {s: max(r["size"] for r in got if r["source"] == s) for s in sizes}
     assert all(abs(taken[s] - want[s]) <= max(0.01 * want[s], longest[s]) for s in sizes)
-    mixed = mixing.mix(docs, shard_col="shard")
-    assert mixed.columns == [*docs.columns, "shard"]
-    rows_of = Counter(r["doc_id"] for r in mixed.collect())
-    assert all(rows_of[r["doc_id"]] == r["copies"] for r in got if r["doc_id"] is not None and r["doc_id"] != 9)
-    again = {(r["doc_id"], r["tag"]): r["copies"] for r in mixing.plan(docs.repartition(7), "doc_id", "text", "source")[0].collect()}
+    assert abs(taken["r"] - want["r"]) <= 10  # repeats are taken one by one
+    mixed = mixing.mix(docs, shard_col="shard", levels=3)
+    assert mixed.columns == [*docs.columns, "shard"] and mixed.rdd.getNumPartitions() == 8
+    rows_of = Counter((r["doc_id"], r["text"], r["source"]) for r in mixed.collect())
+    wanted = Counter()
+    for r in got:
+        wanted[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    assert Counter({(i, s, len(words_of(t))): 0 for i, t, s in rows} | {}) | wanted == wanted
+    have = Counter()
+    for (i, t, s), n in rows_of.items():
+        have[i, s, len(words_of(t))] += n
+    assert have == +wanted
+    again = {(r["doc_id"], r["tag"]): r["copies"] for r in mix_digest(docs.repartition(7))}
     assert again == {(r["doc_id"], r["tag"]): r["copies"] for r in got}
     assert mixing.mix(docs.limit(0)).count() == 0
 
@@ -338,19 +353,19 @@ def test_mix_fills_behind_a_long_document(spark):
     rows = []
     for s in range(24):
         rows += [(1000 * s + i, "w " * (9 + i % 3), f"s{s}" if s else None) for i in range(200)] + [(1000 * s + 999, "w " * (1500 + s), f"s{s}" if s else None)]
-    got, blocks = mixing.plan(table(spark, rows), "doc_id", "text", "source", weights=(1,), share=0.3)
     rest, least = {}, {}
-    for r in got.collect():
+    for r in mix_digest(table(spark, rows), weights=(1,), share=0.3):
         assert r["copies"] <= 1
-        rest[r["source"]] = rest.get(r["source"], r["target"]) - r["size"] * r["copies"]
+        rest[r["source"]] = rest.get(r["source"], r["__target"]) - r["size"] * r["copies"]
         if not r["copies"]:
             least[r["source"]] = min(r["size"], least.get(r["source"], r["size"]))
     assert len(rest) == 24 and all(0 <= rest[s] < least[s] for s in rest)
 
 
-def test_splitting_tree_is_exact_and_disjoint(spark):
+def test_splitting_tree_is_exact_and_disjoint(spark, monkeypatch):
     rows = [(s, b, 1 + (b % 2), b == 3) for s in ("a", "b", None) for b in range(20)]
     blocks = spark.createDataFrame(rows, "source string, block int, whole int, part boolean")
+    monkeypatch.setattr(mixing, "RANKED", 7)
     got = mixing.split(blocks, levels=3).collect()
     assert Counter((r["source"], r["block"], r["copy"]) for r in got) == Counter((s, b, c) for s, b, w, p in rows for c in range(1, w + p + 1))
     per = Counter(r["shard"] for r in got)
