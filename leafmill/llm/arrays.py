@@ -60,18 +60,18 @@ def lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return value, place, count
 
 
-def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit hash of each data[start:end]; see ``lane_hashes``. Needs about 30 bytes for 8 bytes of text."""
-    return lane_hashes(*lanes(data, starts, ends), ends - starts)
+    return lane_hashes(*lanes(data, starts, ends), ends - starts, salt)
 
 
-def lane_hashes(value: np.ndarray, place: np.ndarray, count: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Hashes of segments from their 8-byte numbers.
+def lane_hashes(value: np.ndarray, place: np.ndarray, count: np.ndarray, size: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hashes of segments from their 8-byte numbers; another ``salt`` gives other hashes.
 
     Every number goes through a bijection that depends on its place before they are added up, so no structure of the
     text (periods, complements) makes sums agree: equal hashes of different bytes are as rare as among random numbers.
     """
-    value = mixed(mixed(value + ODD_STEP * (place + 1).astype(np.uint64)) ^ value)
+    value = mixed(mixed(value + ODD_STEP * (place + 1 + (salt << 40)).astype(np.uint64)) ^ value)
     sums = np.zeros(len(value) + 1, np.uint64)
     np.cumsum(value, out=sums[1:])
     upto = np.cumsum(count)

@@ -89,7 +89,7 @@ def salted(left: DataFrame, right: DataFrame, key: str, spread: str, how: str =
     return left.withColumn("__salt", F.pmod(F.xxhash64(spread, F.lit(5)), F.lit(SALTS)).cast("int")).join(many, [key, "__salt"], how).drop("__salt")
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], count: str) -> DataFrame:
     """``left`` joined with the staged ``right`` on ``key``, which has one row a key and tells in ``count`` how many ``left`` has of it.
 
     Hot keys, of which there are at most ``left``'s rows by ``HOT``, do not shuffle ``left`` if they are few enough to be broadcast.
@@ -98,7 +98,7 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFra
     if hot.isEmpty():
         return left.join(right, key)
     few = small(hot)
-    return left.join(few, key).unionByName(left.join(few.select(key), key, "left_anti").join(right.where(F.col(count) <= HOT), key))
+    return left.join(few, key).unionByName(left.join(few.select(*([key] if isinstance(key, str) else key)), key, "left_anti").join(right.where(F.col(count) <= HOT), key))
 
 
 def unstage(df: DataFrame) -> None:

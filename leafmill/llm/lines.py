@@ -4,6 +4,10 @@ Every two neighbouring lines are a window, and so is each line of many words alo
 nothing around it, so every passage of two lines or more that stands elsewhere too is covered by repeated
 windows from its first line to its last. A window stays where it occurs first; the lines of its other occurrences
 go, once their bytes have been compared.
+
+This is the limit of content-defined chunks in which every rolling value over two line hashes is a boundary. With fewer
+boundaries the chunks at a passage's ends run into the lines around it, and short passages are lost; the README has
+figures of that.
 """
 
 from __future__ import annotations
@@ -15,13 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import MIX, SPACE, buffers, mixed, segment_hashes, slices, tidy
-from .common import fresh, stage
+from .arrays import SPACE, buffers, segment_hashes, slices, tidy
+from .common import fresh, join_hot, stage
 
 #: Words from which a line is a window alone. A shorter line that repeats by itself (a brace, a heading) is no passage.
 LONE = 50
-#: Of ``chunks``: one boundary in so many lines, on average; lines that a boundary depends on; most lines of a chunk.
-SPACING, WIDTH, LONGEST = 3, 2, 64
 TEXT = 500_000
 
 
@@ -52,33 +54,11 @@ def long_lines(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return before[ends] - before[starts] >= LONE
 
 
-def chunks(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Content-defined chunks, which ``line_dedup`` does not use: text's number, first byte, end (without the line feed), lines."""
-    starts, ends, per, first = split(data, at)
-    n, total = len(per), len(starts)
-    closes = np.zeros(total, bool)
-    closes[first[1:] - 1] = True
-    h = segment_hashes(data, starts, ends)
-    rolled = h.copy()
-    for k in range(1, WIDTH):
-        rolled[k:] = rolled[k:] * MIX[0] + h[:-k]
-    place = np.arange(total) - np.repeat(first[:-1], per)
-    rolled[place < WIDTH - 1] = h[place < WIDTH - 1]
-    cut = (mixed(rolled) % np.uint64(SPACING) == 0) | closes
-    # a stretch without a boundary is cut by counting from its start
-    begin = np.concatenate(([True], cut[:-1]))
-    since = np.arange(total) - np.maximum.accumulate(np.where(begin, np.arange(total), 0))
-    cut |= since % LONGEST == LONGEST - 1
-    last = np.flatnonzero(cut)
-    start = np.concatenate(([0], last[:-1] + 1)) if len(last) else last
-    return np.repeat(np.arange(n), per)[start], starts[start], ends[last], last - start + 1
-
-
 def _tag(docs: DataFrame, id_col: str, text_col: str):
     return F.xxhash64(F.lit(11), docs[id_col], docs[text_col])
 
 
-def repeated_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def repeated_windows(docs: DataFrame, id_col: str, text_col: str, salt: int = 0) -> DataFrame:
     """tag, no (of the first line), wide (number of lines), both lines' hashes and stays of each window that occurs more than once.
 
     The first occurrence stays: that in the smallest id (nulls last), there the earliest.
@@ -91,7 +71,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for i, j in slices(at, TEXT):
                 part = data[at[i] : at[j]]
                 starts, ends, per, first = split(part, at[i : j + 1] - at[i])
-                h = segment_hashes(part, starts, ends).view(np.int64)
+                h = segment_hashes(part, starts, ends, salt).view(np.int64)
                 text = np.repeat(np.arange(j - i), per)
                 no = np.arange(len(h)) - first[text]
                 two = np.flatnonzero(text[1:] == text[:-1])
@@ -110,8 +90,8 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     every = stage(rows.mapInArrow(run, f"tag long, doc_id {kind}, no int, wide int, hash long, second long"), "windows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag", "no"))
     known = every.groupBy("hash", "second", "wide").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
-    known = stage(known.select("hash", "second", "wide", F.col("first.tag").alias("first_tag"), F.col("first.no").alias("first_no")), "repeats")
-    met = every.join(known, ["hash", "second", "wide"])
+    known = stage(known.select("hash", "second", "wide", F.col("first.tag").alias("first_tag"), F.col("first.no").alias("first_no"), "n"), "repeats")
+    met = join_hot(every, known, ["hash", "second", "wide"], "n")
     return met.select("tag", "no", "wide", "hash", "second", ((F.col("tag") == F.col("first_tag")) & (F.col("no") == F.col("first_no"))).alias("stays"))
 
 
@@ -131,24 +111,22 @@ def covered(total: int, line: np.ndarray, wide: np.ndarray) -> np.ndarray:
     return out
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, salt: int = 0) -> DataFrame:
     """``docs`` with repeated passages removed from their texts; with ``counts`` also n_lines and n_removed.
 
     A passage is two neighbouring lines or more, or a line of ``LONE`` words or more. Wherever it occurs but for the first
     time, all its lines go; each of them stays somewhere. A shorter line goes only with a neighbour.
     Every row stays, perhaps with an empty text. A null text stays null and has no lines; other texts have one line more
-    than line feeds. Rows equal in id and text are one document: what stays in one stays in all of them. Lines of
-    equal hash whose bytes differ are not removed.
+    than line feeds. Rows equal in id and text are one document: what stays in one stays in all of them. An empty table
+    gives an empty result. If lines of equal hash differ in their bytes, all is done again with another ``salt``. The longest
+    text needs about 25 bytes of memory a byte.
     """
     tag, gone = fresh(docs, "tag"), fresh(docs, "gone")
     n_lines, n_removed = (fresh(docs, "n_lines"), fresh(docs, "n_removed")) if not counts else ("n_lines", "n_removed")
-    met = stage(repeated_windows(docs, id_col, text_col).distinct(), "met")
-
-    def with_lists(met: DataFrame) -> DataFrame:
-        by_doc = met.groupBy("tag").agg(F.collect_list(F.struct("no", "wide", "stays")).alias(gone)).withColumnRenamed("tag", tag)  # windows of one document
-        return stage(docs.withColumn(tag, _tag(docs, id_col, text_col)).join(by_doc.hint("shuffle_hash"), tag, "left"), "joined")
+    met = stage(repeated_windows(docs, id_col, text_col, salt).distinct(), "met")
 
-    joined = with_lists(met)
+    by_doc = met.groupBy("tag").agg(F.collect_list(F.struct("no", "wide", "stays")).alias(gone)).withColumnRenamed("tag", tag)  # windows of one document
+    joined = stage(docs.withColumn(tag, _tag(docs, id_col, text_col)).join(by_doc.hint("shuffle_hash"), tag, "left"), "joined")
     text_at, gone_at, names = joined.columns.index(text_col), joined.columns.index(gone), list(joined.columns)
 
     @tidy
@@ -162,15 +140,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 line, wide, _ = listed(batch.column(0), i, j, first)
                 held = np.flatnonzero(covered(len(starts), line, wide))
                 lo, hi = starts[held], ends[held]
-                found = {(h, part[a:b].tobytes()) for h, a, b in zip(segment_hashes(part, lo, hi).view(np.int64).tolist(), lo, hi)}
+                found = {(h, part[a:b].tobytes()) for h, a, b in zip(segment_hashes(part, lo, hi, salt).view(np.int64).tolist(), lo, hi)}
                 yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["hash", "bytes"])
 
     seen = joined.where(F.col(gone).isNotNull()).select(gone, F.col(text_col).cast("string")).mapInArrow(read, "hash long, bytes binary")
     distinct = seen.groupBy("hash", "bytes").agg(F.count("*").alias("n"))  # combined in the tasks that read
     differ = stage(distinct.groupBy("hash").agg(F.count("*").alias("variants")).where("variants > 1").select("hash"), "differ")
     if not differ.isEmpty():  # equal hashes of different bytes: none is expected in any corpus
-        one = (met["hash"] == differ["hash"]) | ((met["wide"] == 2) & (met["second"] == differ["hash"]))
-        joined = with_lists(met.join(F.broadcast(differ), one, "left_anti"))
+        return line_dedup(docs, id_col, text_col, counts, salt + 1)
 
     @tidy
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

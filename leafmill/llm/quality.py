@@ -2,8 +2,8 @@
 
 Each line is good or bad. Its features describe the line itself and the lines beside it; transition weights
 tie neighbours together. A document's score is the mean of its lines' forward-backward marginals of being
-good, weighted by the lines' lengths. The field is fitted on the driver from at most ``SAMPLE`` labelled
-documents (their first ``LINES`` lines); scoring reads every whole text.
+good, weighted by the lines' lengths. The field is fitted on the driver from whole labelled documents, at most ``SAMPLE`` of
+them with at most ``SAMPLE_LINES`` lines together; scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -12,15 +12,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructType
 
 from .arrays import buffers, mixed, segment_hashes, slices, words, tidy
-from .common import fresh
+from .common import fresh, stage
 
-#: Bounds of the fit: labelled documents, and lines of each.
-SAMPLE, LINES = 8000, 256
+#: Bounds of the fit's sample: labelled documents, and lines of all of them (136 bytes each on the driver).
+SAMPLE, SAMPLE_LINES = 8000, 400_000
 THRESHOLD = 0.3
 TEXT = 500_000
 
@@ -111,8 +111,8 @@ class Field:
     weight: np.ndarray
     pair: np.ndarray
 
-    def marginals(self, x: np.ndarray, first: np.ndarray, pairs: bool = False):
-        """P(good) by line; with ``pairs`` also the expected number of each transition and the log-partition."""
+    def marginals(self, x: np.ndarray, first: np.ndarray, share: np.ndarray | None = None):
+        """P(good) by line; with ``share``, a weight by text, also the expected number of each transition, so weighted."""
         score = (x @ self.weight.astype(np.float32)).astype(np.float64)
         n_lines = np.diff(first)
         order = np.argsort(-n_lines, kind="stable")
@@ -132,18 +132,19 @@ class Field:
         log_z = np.logaddexp(good[ends], bad[ends])
         back_g, back_b = np.zeros(len(score)), np.zeros(len(score))
         total = np.zeros((2, 2))
+        by = share[order] if share is not None else None
         for t in range(len(alive) - 2, -1, -1):
             k = alive[t + 1]
             i = starts[:k] + t
             g, b = score[i + 1] + back_g[i + 1], back_b[i + 1]
             back_g[i] = np.logaddexp(p[1, 1] + g, p[1, 0] + b)
             back_b[i] = np.logaddexp(p[0, 1] + g, p[0, 0] + b)
-            if pairs:
-                z = log_z[:k]
-                total += [[np.exp(bad[i] + p[0, 0] + b - z).sum(), np.exp(bad[i] + p[0, 1] + g - z).sum()], [np.exp(good[i] + p[1, 0] + b - z).sum(), np.exp(good[i] + p[1, 1] + g - z).sum()]]
+            if by is not None:
+                z, w = log_z[:k], by[:k]
+                total += [[w @ np.exp(bad[i] + p[0, 0] + b - z), w @ np.exp(bad[i] + p[0, 1] + g - z)], [w @ np.exp(good[i] + p[1, 0] + b - z), w @ np.exp(good[i] + p[1, 1] + g - z)]]
         a, c = good + back_g, bad + back_b
         m = 1 / (1 + np.exp(np.clip(c - a, -700, 700)))
-        return (m, total, log_z.sum(), score) if pairs else m
+        return (m, total) if share is not None else m
 
     def scores(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         x, weight, first = line_features(data, at)
@@ -154,19 +155,22 @@ class Field:
 def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Field:
     """Maximum likelihood by gradient steps; every line of a document carries the document's label.
 
-    Each document counts as much as any other, long or short: lines of a document share its weight.
+    Each document counts as much as any other, long or short: lines of a document share its weight, which is the mean
+    number of lines.
     """
     field = Field(np.zeros(x.shape[1]), np.zeros((2, 2)))
     n_lines = np.diff(first)
     y = np.repeat(label.astype(np.float64), n_lines)
+    share = n_lines.mean() / n_lines if len(label) else np.ones(0)
+    line_share = np.repeat(share, n_lines)
     seen = np.zeros((2, 2))
-    seen[1, 1], seen[0, 0] = (n_lines[label == 1] - 1).sum(), (n_lines[label == 0] - 1).sum()
+    seen[1, 1], seen[0, 0] = share[label == 1] @ (n_lines[label == 1] - 1), share[label == 0] @ (n_lines[label == 0] - 1)
     n = max(1, len(label))
     mean = [np.zeros(x.shape[1]), np.zeros((2, 2))]
     square = [np.zeros(x.shape[1]), np.zeros((2, 2))]
     for step in range(1, steps + 1):
-        m, pairs, _, _ = field.marginals(x, first, pairs=True)
-        grads = [(x.T @ (y - m)) / n - decay * field.weight, (seen - pairs) / n - decay * field.pair]
+        m, pairs = field.marginals(x, first, share)
+        grads = [(x.T @ ((y - m) * line_share)) / n - decay * field.weight, (seen - pairs) / n - decay * field.pair]
         for k, (g, value) in enumerate(zip(grads, (field.weight, field.pair), strict=True)):
             mean[k] = 0.9 * mean[k] + 0.1 * g
             square[k] = 0.99 * square[k] + 0.01 * g * g
@@ -178,11 +182,11 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = SAMPLE_LINES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
     """Fit on at most ``sample`` labelled documents that are not held out, taken by a hash of their ids.
 
-    Labels other than 0 and 1 are ignored, as are null ids; of several labels of one id the smallest counts.
-    Without any labelled document every score is 0.5.
+    Documents are taken whole, while they have ``lines`` lines together at most; one that has more than a quarter of them is passed over. Labels other than 0 and 1 are ignored, as are null ids; of several labels of one id the smallest counts.
+    Without any labelled document, as in empty tables, every score is 0.5. Of rows that share an id all are taken.
     """
     known = labels.select(labels["doc_id"].alias("doc_id"), labels[label_col].alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
@@ -191,15 +195,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     @tidy
     def run(batches):
         for batch in batches:
-            data, at = buffers(batch.column(1))
+            data, at = buffers(batch.column(3))
             for i, j in slices(at, TEXT):
                 x, _, first = line_features(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                rows = [x[a : min(b, a + LINES)].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(rows, pa.binary())], names=["label", "x"])
+                rows = [x[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[i:j] for c in range(3)), pa.array(np.diff(first), pa.int64()), pa.array(rows, pa.binary())], names=["label", "k", "t", "n", "x"])
 
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), texts["id"] == chosen["doc_id"]).select(F.col("label").cast("int").alias("label"), "text")
-    got = rows.mapInArrow(run, "label int, x binary").collect()  # bounded by sample and LINES
+    rows = texts.join(F.broadcast(chosen), texts["id"] == chosen["doc_id"])
+    size = 1 + F.length("text") - F.length(F.replace("text", F.lit("\n")))
+    rows = rows.where(size <= lines // 4).select(F.col("label").cast("int").alias("label"), F.xxhash64("id").alias("k"), F.xxhash64("text").alias("t"), "text")
+    made = stage(rows.mapInArrow(run, "label int, k long, t long, n long, x binary"), "lines")
+    upto = F.sum("n").over(Window.orderBy("k", "t"))  # numbers of at most ``sample`` documents and their repeats
+    kept = made.select("k", "t", "n").withColumn("upto", upto).where(F.col("upto") <= lines).select("k", "t").distinct()
+    got = made.join(F.broadcast(kept), ["k", "t"]).select("label", "x").collect()  # bounded by lines
     # the order of collected rows may differ from run to run, and sums of floats with it
     got = sorted((r["label"], bytes(r["x"])) for r in got)
     if not got:
@@ -210,7 +219,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 
 def score_documents(docs: DataFrame, field: Field, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a column of quality scores from 0 to 1; null texts count as empty, which is one empty line."""
+    """``docs`` with a column of quality scores from 0 to 1; null texts count as empty, which is one empty line.
+
+    Rows are scored one by one, whatever their other columns; an empty table gives an empty result. The longest text needs
+    about 40 bytes of memory a byte.
+    """
     names = [*docs.columns, name]
     n, where = len(docs.columns), docs.columns.index(text_col)
 

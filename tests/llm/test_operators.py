@@ -253,16 +253,6 @@ def test_line_chunks_shift_and_go_once(spark):
     assert lines.line_dedup(df.limit(0)).count() == 0
 
 
-def test_chunks_cover_texts():
-    rnd = random.Random(2)
-    texts = ["\n".join(rnd.choice(["", "a", "bb", "é"]) for _ in range(rnd.randrange(1, 200))).encode() for _ in range(30)] + [b"", b"\n", b"x" * 1000 + b"\n" * 300]
-    at = np.cumsum([0, *map(len, texts)])
-    text, lo, hi, n = lines.chunks(np.frombuffer(b"".join(texts), np.uint8), at)
-    for i, t in enumerate(texts):
-        mine = text == i
-        assert b"\n".join(t[a - at[i] : b - at[i]] for a, b in zip(lo[mine], hi[mine])) == t and n[mine].sum() == t.count(b"\n") + 1 and n[mine].max() <= lines.LONGEST
-
-
 def brute_line_dedup(docs):
     """Texts by id after every later occurrence of two neighbouring lines, or of a line of LONE words, has gone."""
     known, off = set(), defaultdict(set)
@@ -276,6 +266,14 @@ def brute_line_dedup(docs):
     return {i: "\n".join(y for a, y in enumerate(t.split("\n")) if a not in off[i]) for i, t in docs}
 
 
+def test_lines_of_equal_hash_are_told_apart(spark, monkeypatch):
+    docs = [(1, "a\nb\nc"), (2, "c\nd\ne"), (3, "x\na\nb"), (4, "twin one\ntwin two"), (5, "q\ntwin one\ntwin two")]
+    weak = lines.segment_hashes
+    monkeypatch.setattr(lines, "segment_hashes", lambda d, a, b, salt=0: weak(d, a, b, salt) & np.uint64(1 if salt == 0 else 2**64 - 1))
+    out = {r["doc_id"]: r["text"] for r in lines.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == brute_line_dedup(docs)
+
+
 def test_repeated_passages_go_whole(spark):
     rnd, docs, passages = random.Random(3), [], []
     for m in (1, 2, 3, 5, 8, 20):
@@ -557,19 +555,36 @@ def test_role_repair_is_cheapest_and_legal(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
-def test_token_files(spark, tmp_path):
+def test_token_counts_by_document(spark, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path())
+    t.encode_special_tokens = True
+    monkeypatch.setattr(tokencount, "CLASSES", ((4, 3), (30, 2), (None, 1)))
+    rows = [(i, (None, "", "a b", "word " * (i % 11), "é" * i, "long text " * i)[i % 6]) for i in range(60)] + [(7, "again"), (None, "no id")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet("file://" + str(tmp_path / "documents.parquet"))
+    got = Counter((r["doc_id"], r["n_tokens"]) for r in tokencount.op10_token_counts(spark, "file://" + str(tmp_path)).collect())
+    assert got == Counter((i, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in rows)
+
+
+def test_token_files(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(bpe.default_path())
     t.encode_special_tokens = True
     texts = ["a b", None, "", "x" * 500, "<|endoftext|> y", "last one"]
     df = spark.createDataFrame([(x, 0) for x in texts], "text string, ids int").coalesce(1)
+    monkeypatch.setattr(tokencount, "CLASSES", ((None, 100),))
     path = "file://" + str(tmp_path / "flat")
     tokencount.write_flat(df, path)
     want = [len(t.encode(x or "", add_special_tokens=False).ids) for x in texts]
     for block in (2, 6, 1 << 20):
         rows = tokencount.count_tokens(spark, path, block=block).orderBy("ordinal").collect()
         assert [r["n_tokens"] for r in rows] == want and [r["start"] for r in rows] == [sum(want[:i]) + i for i in range(len(want))]
+    tokencount.write_flat(df.limit(0), path + "-empty")
+    assert tokencount.count_tokens(spark, path + "-empty").count() == 0
+    with pytest.raises(ValueError):
+        tokencount.write_flat(df, path + "-narrow", width=1)
     own = tmp_path / "own"
     own.mkdir()
     (own / "a.bin").write_bytes(np.array([7, 50256, 50256, 8, 9], "<u2").tobytes() + b"\x01")
