@@ -34,6 +34,7 @@ TEMPLATE = ("<|", "|>\n", "\n")
 INF = math.inf
 #: Turns of a piece, as a power of two.
 PIECE = 12
+PREFIX = 64
 
 
 def _paths() -> dict[tuple[int, int], tuple[int, ...]]:
@@ -138,11 +139,14 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     are ordered by turn (nulls last), then role and text; rows that repeat are turns of their own. Null text
     is empty; a null or unknown role becomes whichever role costs least; null ids are one conversation. Of
     repairs that cost the same the first choice in the order of ``options`` is taken, turn by turn from the
-    front. An empty table gives an empty result.
+    front. An empty table gives an empty result. A very long text costs its task the memory of a few copies of it; ranges are
+    found from the first ``PREFIX`` characters of texts, so that no whole text comes to the driver.
     """
     cols = turns.select(turns[id_col].alias("conv_id"), turns[turn_col].alias("turn"), turns[role_col].cast("string").alias("role"), turns[text_col].cast("string").alias("text"))
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last()]
-    ranged = cols.repartitionByRange(*order).sortWithinPartitions(*order)
+    # rows that agree in all of these fall into one range, so ranges are in order of whole texts as well
+    start = [*order[:3], F.substring("text", 1, PREFIX).asc_nulls_last()]
+    ranged = cols.repartitionByRange(*start).sortWithinPartitions(*order)
     ranged = ranged.withColumn("place", F.monotonically_increasing_id()).withColumn("part", F.shiftright("place", piece))
     ranged = ranged.withColumn("ck", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null")))
     ranged = stage(ranged, "turns")  # places and pieces are fixed from here
