@@ -4,45 +4,56 @@ from __future__ import annotations
 
 import argparse
 import json
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import DEFAULT, DOMAINS
 from .functions import text as T
 from .functions.vector import hashed_embedding, mean_pool
-from .operators import chunk, lexical, retrieve, store
+from .operators import chunk, search, store
+from .operators.tree import build_tree
 from .sources import files
+from .staging import stage
 
 
-def ingest(spark: SparkSession, root: str, domains: list[str], out: str, dim: int) -> None:
-    """Source files under root/<domain> to stored documents, parents and children; a domain's partition is replaced."""
+def ingest(spark: SparkSession, root: str, domains: list[str], out: str, dim: int, extract: Callable[[bytes], list[dict]] | None = None, tree: bool = True) -> None:
+    """Files under root/<domain> to stored documents, parents, children and summaries; a domain's partition is replaced.
+
+    PDF files need ``extract`` (bytes to blocks). The tree's leaves are the children.
+    """
     for domain in domains:
-        docs = files.source_files(files.scan(spark, root, domain)).withColumn("document_id", F.xxhash64("path"))
-        segs = docs.where("text IS NOT NULL").select("document_id", F.lit(0).alias("seg_ord"), F.lit(1).alias("page"), "text", F.lit("code").alias("kind"), "language", F.lit(None).cast("string").alias("image_path"))
+        docs, segs = files.segments_of(spark, root, domain, extract)
+        docs, segs = stage(docs, "documents"), stage(segs, "segments")
         parents, kids = chunk.chunk_segments(segs)
-        kids = kids.withColumn("embedding", hashed_embedding(T.tokens(F.col("content")), dim))
+        parents, kids = stage(parents, "parents"), stage(kids.withColumn("embedding", hashed_embedding(T.tokens(F.col("content")), dim)), "children")
         pooled = mean_pool(kids.select("parent_chunk_id", "embedding"), ["parent_chunk_id"], out="embedding").withColumn("embedding", F.col("embedding").cast("array<float>"))
-        cols = ["id", "document_id", "level", "parent_chunk_id", "is_searchable", "content", "content_type", "language", "token_count", "page_start", "page_end", "embedding"]
+        cols = ["id", "document_id", "level", "parent_chunk_id", "is_searchable", "parent_ids", "children_ids", "content", "content_type", "language", "token_count", "page_start", "page_end", "embedding"]
         pages = {"page_start": F.col("page"), "page_end": F.col("page")}
         rows = store.parent_rows(parents, pooled).withColumns(pages).select(*cols).unionByName(store.child_rows(kids.drop("embedding"), kids.select("id", "embedding")).withColumns(pages).select(*cols))
+        if tree and (leaves := kids.select("id", "content", "embedding")).count() > DEFAULT.min_nodes:
+            rows = store.insert_summaries(rows, build_tree(leaves))
         rows.write.mode("overwrite").parquet(f"{out}/chunks/domain={domain}")
         docs.join(parents.select("document_id").distinct(), "document_id", "left_semi").select("document_id", "path", "title", "sha256", "n_pages").write.mode("overwrite").parquet(f"{out}/documents/domain={domain}")
 
 
-def ask(spark: SparkSession, store_dir: str, text: str, domain: str | None, mode: str, k: int, dim: int):
-    if not 1 <= len(text) <= 2000 or not 1 <= k <= 50:
-        raise ValueError("a query has 1 to 2000 characters, and k is from 1 to 50")
-    if domain is not None and domain not in DOMAINS:
-        raise ValueError(f"unknown domain {domain}")
+def ask(spark: SparkSession, store_dir: str, r: search.Request, dim: int) -> DataFrame:
+    """parent_id, content, score: the parents that answer, best first."""
     chunks = spark.read.parquet(f"{store_dir}/chunks")
-    if mode == "lexical":
-        kids = retrieve.searchable_children(chunks, domain)
-        hits = lexical.lexical(kids, text, "id", "content").orderBy(F.col("score").desc(), "id").limit(DEFAULT.top_k_children)
-        best = kids.join(hits, "id").groupBy(F.col("parent_chunk_id").alias("id")).agg(F.max("score").alias("score"))
-        return chunks.select("id", "content").join(best, "id").select(F.col("id").alias("parent_id"), "content", "score").orderBy(F.col("score").desc(), "parent_id").limit(k)
-    vector = spark.range(1).select(hashed_embedding(T.tokens(F.lit(text)), dim).alias("v")).first()["v"]
-    return retrieve.retrieve(chunks, vector, domain).limit(k)
+    docs = spark.read.parquet(f"{store_dir}/documents").select("document_id", F.col("path").alias("source_path"))
+    chunks = chunks.join(docs, "document_id", "left")
+    edges = chunks.where(F.size("children_ids") > 0).select(F.col("id").alias("parent_id"), F.explode("children_ids").alias("child_id"))
+    vector = spark.range(1).select(hashed_embedding(T.tokens(F.lit(r.query)), dim).alias("v")).first()["v"]
+    hits = search.search(chunks, edges, r, vector)
+    return hits.join(chunks.select(F.col("id").alias("parent_id"), "content", "source_path"), "parent_id").orderBy(F.col("score").desc(), "parent_id")
+
+
+def shown(rows: DataFrame, as_json: bool) -> list[str]:
+    """A line for each row, as JSON or for people: the score and the text, shortened."""
+    if as_json:
+        return [json.dumps(x.asDict(), default=str) for x in rows.collect()]  # at most k rows
+    return [f"{x['score']:.3f}  {x['text']}" for x in rows.select("score", T.shortened(F.coalesce("content", F.lit("")), 160).alias("text")).collect()]
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -52,22 +63,29 @@ def main(argv: list[str] | None = None) -> None:
     i.add_argument("--root", required=True)
     i.add_argument("--out", required=True)
     i.add_argument("--domains", nargs="+", default=list(DOMAINS))
+    i.add_argument("--no-tree", action="store_true")
     q = sub.add_parser("query")
     q.add_argument("text")
     q.add_argument("--store", required=True)
     q.add_argument("--domain")
-    q.add_argument("--mode", choices=("dense", "lexical"), default="dense")
+    q.add_argument("--source")
+    q.add_argument("--mode", choices=search.MODES, default="collapsed")
+    q.add_argument("--fusion", choices=search.FUSIONS, default="dense")
     q.add_argument("--k", type=int, default=5)
+    q.add_argument("--beam", type=int, default=DEFAULT.beam)
+    q.add_argument("--fanout", type=int, default=DEFAULT.fanout)
+    q.add_argument("--alpha", type=float, default=DEFAULT.alpha)
     q.add_argument("--json", action="store_true")
     for x in (i, q):
         x.add_argument("--dim", type=int, default=DEFAULT.dim)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("leafmill").getOrCreate()
     if a.what == "ingest":
-        ingest(spark, a.root, a.domains, a.out, a.dim)
+        ingest(spark, a.root, a.domains, a.out, a.dim, tree=not a.no_tree)
         return
-    for r in ask(spark, a.store, a.text, a.domain, a.mode, a.k, a.dim).collect():
-        print(json.dumps(r.asDict(), default=str) if a.json else f"{r['score']:.3f}  {' '.join((r['content'] or '').split())[:160]}")
+    r = search.Request(a.text, a.mode, a.fusion, a.domain, a.source, a.k, a.beam, a.fanout, a.alpha)
+    for line in shown(ask(spark, a.store, r, a.dim), a.json):
+        print(line)
 
 
 if __name__ == "__main__":

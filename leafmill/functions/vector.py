@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -39,10 +42,22 @@ def mean_pool(df: DataFrame, by: list[str], vec: str = "embedding", out: str = "
     return rows.withColumn(out, normalised(F.col(out)))
 
 
+@F.pandas_udf(ArrayType(FloatType()))
+def _counted(at: pd.Series, sign: pd.Series, dim: pd.Series) -> pd.Series:
+    """By row the sum of signs by position, of length one; tokens of all rows are added up at once."""
+    n, width = len(at), int(dim.iloc[0]) if len(dim) else 1
+    size = np.array([len(x) for x in at])
+    out = np.zeros(n * width)
+    if size.sum():
+        np.add.at(out, np.repeat(np.arange(n), size) * width + np.concatenate(at.to_list()), np.concatenate(sign.to_list()))
+    out = out.reshape(n, width)
+    length = np.sqrt((out * out).sum(1))
+    return pd.Series(list((out / np.where(length > 0, length, 1)[:, None]).astype(np.float32)))
+
+
 def hashed_embedding(toks: Column, dim: int = 64) -> Column:
-    """A bag of hashed tokens, normalised: tokens add one to or take one from a position that their hash names."""
+    """A bag of hashed tokens, normalised: tokens add one to or take one from a position that their hash names; null is empty."""
+    toks = F.coalesce(toks, F.array().cast("array<string>"))
     at = F.transform(toks, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)))
     sign = F.transform(toks, lambda t: F.lit(1.0) - 2 * F.pmod(F.shiftright(F.xxhash64(t), 32), F.lit(2)))
-    pairs = F.arrays_zip(at.alias("p"), sign.alias("s"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(pairs, lambda x: x["p"] == i), F.lit(0.0), lambda a, x: a + x["s"]))
-    return normalised(counts).cast("array<float>")
+    return _counted(at, sign, F.lit(dim))

@@ -84,15 +84,15 @@ def rrf(lists: DataFrame, k: int = 60) -> DataFrame:
     return lists.groupBy("id").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("score"))
 
 
-def similarities(queries: DataFrame, nodes: DataFrame, key: str, on: list[str] | None = None) -> DataFrame:
+def similarities(queries: DataFrame, nodes: DataFrame, key: str, on: list[str] | None = None, blocks: int = 64) -> DataFrame:
     """query_id, ``key``, sim of all pairs of a query with a node, or of those equal ``on`` columns.
 
-    For stated queries against tree roots, cluster centres or cached queries: Spark broadcasts the smaller side if its
-    measured size allows, and goes through both in blocks otherwise.
+    For stated queries against tree roots, cluster centres or cached queries: nodes are dealt to blocks, and each block
+    meets all queries, so that no task holds more of the nodes than a block.
     """
-    q = queries.select("query_id", F.col("embedding").alias("q"), *(on or []))
-    n = nodes.select(key, F.col("embedding").alias("e"), *(on or []))
-    pairs = q.join(n, on) if on else q.join(n, F.lit(True))
+    q = queries.select("query_id", F.col("embedding").alias("q"), *(on or []), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    n = nodes.select(key, F.col("embedding").alias("e"), *(on or []), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
+    pairs = q.join(n, [*(on or []), "block"])
     return pairs.select("query_id", key, cosine(F.col("q"), F.col("e")).alias("sim"))
 
 

@@ -69,6 +69,29 @@ def nearest_caption(images: DataFrame, texts: DataFrame, reach: float = 40.0) ->
     return images.join(best, ["doc_id", "page", "img"], "left").withColumn("caption", F.coalesce("caption", F.lit("")))
 
 
+def document_segments(blocks: DataFrame, cfg: Config = DEFAULT, code_aware: bool = True) -> DataFrame:
+    """doc_id, page, seg_ord, text, kind, language, image_path, is_scan: a page's text and code first, then its figures.
+
+    The figures of a scanned page stand for its text; others have the caption that is found near them.
+    """
+    text = page_segments(blocks, code_aware).select("doc_id", "page", F.lit(0).alias("rank"), "ord", "text", "kind", "language", F.lit(None).cast("string").alias("image_path"), F.lit(False).alias("is_scan"))
+    images = image_blocks(blocks, cfg.min_image_area).withColumn("img", F.col("block"))
+    near = nearest_caption(images.select("doc_id", "page", "img", F.col("bbox.y1").alias("iy1")), text_blocks(blocks).select("doc_id", "page", "block", F.col("bbox.y0").alias("by0"), "text"))
+    scans = scanned_pages(blocks, cfg).withColumn("is_scan", F.lit(True))
+    named = images.join(near.select("doc_id", "page", "img", "caption"), ["doc_id", "page", "img"]).join(scans, ["doc_id", "page"], "left")
+    figures = named.select("doc_id", "page", F.lit(1).alias("rank"), F.col("block").alias("ord"), F.col("caption").alias("text"), F.lit("image").alias("kind"), F.lit(None).cast("string").alias("language"), F.col("image_name").alias("image_path"), F.coalesce("is_scan", F.lit(False)).alias("is_scan"))
+    order = Window.partitionBy("doc_id").orderBy("page", "rank", "ord")  # one document
+    return text.unionByName(figures).withColumn("seg_ord", F.row_number().over(order) - 1).drop("rank", "ord")
+
+
+def caption_counts(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: images that were captioned, scans that became text, images that the model left as they were."""
+    b, a = before.select(*keys, F.col("kind").alias("was"), F.col("text").alias("old")), after.select(*keys, "kind", "text")
+    both = b.where("was = 'image'").join(a, keys)
+    same = F.col("text").eqNullSafe(F.col("old")) & (F.col("kind") == "image")
+    return both.agg(F.count_if((F.col("kind") == "image") & ~same).alias("captioned"), F.count_if(F.col("kind") == "text").alias("transcribed"), F.count_if(same).alias("left"))
+
+
 def caption_images(segments: DataFrame, caption, transcribe) -> DataFrame:
     """Image segments with generated text: scans become text, figures get their found caption and the generated one.
 

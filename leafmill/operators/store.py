@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..staging import stage
 
 
 def upsert_documents(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -58,6 +59,43 @@ def link_parents(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.withColumn("parent_ids", F.concat("parent_ids", F.coalesce("more", F.array().cast("array<long>")))).drop("more").select(*chunks.columns)
 
 
+def insert_summaries(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``chunks`` with a row for each of ``nodes`` (id, domain, level, cluster_id, children_ids, content, embedding), and the children pointing back.
+
+    Summaries are always searchable text; their token count is that of words between white space. Columns that nodes do not
+    have are null.
+    """
+    count = F.size(F.filter(F.split(F.col("content"), r"\s+"), lambda w: w != ""))
+    clean = nodes.withColumn("content", T.strip_nul(F.col("content"))).withColumn("token_count", count)
+    given = {"is_searchable": F.lit(True), "content_type": F.lit("text"), "parent_ids": F.array().cast("array<long>"), "children_ids": F.col("children_ids"), "token_count": F.col("token_count")}
+    rows = clean.select(*[(given.get(f.name, F.col(f.name)) if f.name in (*given, *clean.columns) else F.lit(None)).cast(f.dataType).alias(f.name) for f in chunks.schema.fields])
+    return link_parents(chunks.unionByName(rows), nodes)
+
+
+def append_missing(old: DataFrame, new: DataFrame, on: str) -> DataFrame:
+    """``old`` and those rows of ``new`` whose key it does not have; of new rows with one key the first by their other columns."""
+    one = missing(new, old, on).groupBy(on).agg(F.min(F.struct(*[c for c in old.columns if c != on])).alias("r"))
+    return old.unionByName(one.select(on, "r.*").select(*old.columns))
+
+
+def with_documents(chunks: DataFrame, documents: DataFrame, source: str | None = None) -> DataFrame:
+    """Chunks with the path and title of their documents; with ``source`` those of documents whose path holds it. In order of chunks."""
+    docs = documents.select(F.col("id").alias("document_id"), "source_path", "title")
+    docs = docs.where(F.col("source_path").contains(source)) if source else docs
+    return chunks.join(docs, "document_id").orderBy("id")
+
+
+def readiness(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """what, n: leaves, leaves without an embedding, nodes without children, and leaves less those that a node holds."""
+    leaves = chunks.where("level = 0")
+    held = leaves.join(nodes.select(F.explode("children_ids").alias("id")).distinct(), "id", "left_semi")
+    one = lambda what, df, n: df.agg(n.cast("long").alias("n")).select(F.lit(what).alias("what"), "n")
+    out = one("leaves", leaves, F.count("*")).unionByName(one("unembedded", leaves, F.count_if(F.col("embedding").isNull())))
+    out = out.unionByName(one("childless", nodes, F.count_if(F.size("children_ids") == 0)))
+    orphans = one("", leaves, F.count("*")).unionByName(one("", held, -F.count("*"))).agg(F.sum("n").alias("n"))
+    return out.unionByName(orphans.select(F.lit("orphans").alias("what"), "n"))
+
+
 def resolve_ids(refs: DataFrame, names: DataFrame) -> DataFrame:
     """``refs`` (ref) with the real id of placeholders (placeholder, real), or as they are."""
     return refs.join(names, refs["ref"] == names["placeholder"], "left").select(*refs.columns, F.coalesce("real", "ref").alias("id"))
@@ -71,12 +109,14 @@ def missing(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 def delete_documents(chunks: DataFrame, gone: DataFrame) -> DataFrame:
     """Chunks without those of the documents ``gone`` (id), nor chunks below them."""
     kept = chunks.join(gone.select(F.col("id").alias("document_id")), "document_id", "left_anti")
-    lost = chunks.join(gone.select(F.col("id").alias("document_id")), "document_id", "left_semi").select(F.col("id").alias("parent_chunk_id"))
-    while not (below := kept.join(lost, "parent_chunk_id", "left_semi")).isEmpty():
-        gone_now = below.select("id")
-        kept = kept.join(gone_now, "id", "left_anti")
-        lost = gone_now.withColumnRenamed("id", "parent_chunk_id")
-    return kept.select(*chunks.columns)
+    edges = stage(kept.where("parent_chunk_id IS NOT NULL").select("id", "parent_chunk_id"), "edges")
+    lost = stage(chunks.join(gone.select(F.col("id").alias("document_id")), "document_id", "left_semi").select("id"), "lost")
+    every = None
+    while not lost.isEmpty():  # a level of the hierarchy a round, each written once
+        below = edges.join(lost.select(F.col("id").alias("parent_chunk_id")), "parent_chunk_id", "left_semi").select("id").distinct()
+        lost = stage(below.join(every, "id", "left_anti") if every is not None else below, "lost")
+        every = lost if every is None else every.unionByName(lost)
+    return (kept.join(every, "id", "left_anti") if every is not None else kept).select(*chunks.columns)
 
 
 def chunk_stats(chunks: DataFrame, by: list[str], tokens: str = "token_count") -> DataFrame:

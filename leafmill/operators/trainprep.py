@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import subprocess
 import sys
 import tempfile
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
+from ..staging import stage
 
 SYSTEM = "You are a helpful assistant."
 REFUSAL = "The answer is not in the context."
@@ -104,37 +106,84 @@ def stratified(df: DataFrame, flag: Column, n: int = 128, share: float = 0.30, s
     return df.where(flag).orderBy(*order).limit(n - n_without).unionByName(without)
 
 
+def numbered(df: DataFrame, key: Column, *order: str) -> DataFrame:
+    """``df`` with place: 0, 1, ... in the order of ``key`` and then the columns ``order``.
+
+    Rows are numbered within 4096 ranges of their key's first digits (hexadecimal) and ranges by their sizes, so no task holds all.
+    """
+    keyed = stage(df.withColumn("__key", key).withColumn("__bin", F.substring("__key", 1, 3)), "numbered")
+    sizes = keyed.groupBy("__bin").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1))  # 4096 rows
+    sizes = sizes.select("__bin", F.coalesce(before, F.lit(0)).alias("__before"))
+    at = F.row_number().over(Window.partitionBy("__bin").orderBy("__key", *order)) - 1
+    return keyed.withColumn("__at", at).join(F.broadcast(sizes), "__bin").withColumn("place", F.col("__before") + F.col("__at")).drop("__key", "__bin", "__at", "__before")
+
+
 def distractors(df: DataFrame, pool: DataFrame, k: int = 2, seed: int = 0, cut: int = 1500) -> DataFrame:
-    """Each row's context with k others of a pool (cand, context), in a repeatable random order.
+    """Each row's context with k others of a pool (cand, context), cut at ``cut`` characters, in a repeatable random order.
 
-    Row i takes the k entries of the pool, numbered by a hash order, that stand at places drawn by hashes of i; so rows
-    and pool join by place and are never crossed.
+    The pool is numbered as a whole, in a hash order; row i takes the entries at places drawn by hashes of i and of the draw,
+    all different if the pool has as many. So rows and pool join by place and are never crossed.
     """
-    order = Window.orderBy(shuffle_key(seed, "cand"), "cand")
-    small = pool.orderBy(shuffle_key(seed, "cand"), "cand").limit(10_000)
-    numbered = small.select("cand", F.substring("context", 1, cut).alias("other"), (F.row_number().over(order) - 1).alias("place"))
-    size = numbered.agg(F.count("*").alias("size"))
-    draws = df.join(F.broadcast(size), F.lit(True)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.col("size").cast("int")))))
-    draws = draws.withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "id") + F.col("draw"), F.col("size")).cast("int"))
-    got = draws.join(F.broadcast(numbered), "place").groupBy("id").agg(F.collect_list("other").alias("others"))
+    places = numbered(pool.select("cand", F.substring("context", 1, cut).alias("other")), shuffle_key(seed, "cand"), "cand").select("place", "other")
+    places = stage(places, "pool")
+    n = places.count()
+    first, step = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(n, 1))), F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(max((n - 1) // max(k, 1), 1))) + 1
+    draws = df.select("id", first.alias("first"), step.alias("step"), F.explode(F.sequence(F.lit(1), F.lit(min(k, n)))).alias("draw")) if min(k, n) else df.select("id", F.lit(0).alias("first"), F.lit(0).alias("step"), F.lit(0).alias("draw")).limit(0)
+    draws = draws.select("id", F.pmod(F.col("first") + F.col("step") * F.col("draw"), F.lit(max(n, 1))).alias("place"))
+    got = draws.join(places, "place").groupBy("id").agg(F.collect_list("other").alias("others"))  # k of a row
     parts = F.array_sort(F.transform(F.concat(F.array(F.substring("context", 1, cut)), F.coalesce("others", F.array().cast("array<string>"))), lambda c: F.struct(F.md5(F.concat(F.lit(str(seed)), c)).alias("o"), c.alias("c"))))
     return df.join(got, "id", "left").withColumn("retrieved", F.array_join(F.transform(parts, lambda p: p["c"]), "\n\n---\n\n")).drop("others")
 
 
+def all_of(*tables: DataFrame) -> DataFrame:
+    """The rows of all tables, as many times as they have them; columns go by name."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def coder_rows(df: DataFrame) -> DataFrame:
+    """question, answer of coding examples under any of several names, without those that have no question."""
+    rows = df.select(T.strip(pick(df, "question", "problem", "prompt", "instruction")).alias("question"), T.strip(pick(df, "answer", "solution", "output", "response")).alias("answer"))
+    return rows.where(F.col("question") != "")
+
+
+def grounded_prompt(context: Column, question: Column, cut: int = 1500) -> Column:
+    """A question with its context, cut at ``cut`` characters."""
+    return F.concat(F.lit("Context:\n"), F.substring(context, 1, cut), F.lit("\n\nQuestion: "), question, F.lit("\n\nAnswer:"))
+
+
+def capped(df: DataFrame, source: str, most: int = 5000, seed: int = 0, key: str = "doc_id") -> DataFrame:
+    """At most ``most`` rows of each source, in a repeatable random order; a null source is one of its own.
+
+    Rows are cut in 64 parts of each source first, so a source that has most rows does not meet in one task.
+    """
+    order = [F.col("__key"), F.col(key)]
+    keyed = df.withColumn("__key", shuffle_key(seed, key)).withColumn("__part", F.pmod(F.xxhash64(key), F.lit(64)))
+    few = keyed.withColumn("__n", F.row_number().over(Window.partitionBy(source, "__part").orderBy(*order))).where(F.col("__n") <= most)
+    return few.withColumn("__n", F.row_number().over(Window.partitionBy(source).orderBy(*order))).where(F.col("__n") <= most).select(*df.columns)
+
+
+def question_sample(parents: DataFrame, n: int = 100, seed: int = 0) -> DataFrame:
+    """id, domain, kind: ``n`` parents (id, domain) of each domain, half to be asked about in other words and half in exact terms."""
+    got = capped(parents.select("id", "domain"), "domain", n, seed, "id")
+    rank = F.row_number().over(Window.partitionBy("domain").orderBy(shuffle_key(seed, "id"), "id"))  # n of a domain
+    return got.select("id", "domain", F.when(rank % 2 == 1, "paraphrase").otherwise("exact").alias("kind"))
+
+
+def _parses(code: str | None) -> bool:
+    try:
+        return bool(code) and isinstance(ast.parse(code), ast.Module)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+
+
 @F.pandas_udf(DoubleType())
 def reward_syntax(code: pd.Series) -> pd.Series:
-    """0.25 for code that compiles; nothing is run."""
-
-    def one(c):
-        if not c:
-            return 0.0
-        try:
-            compile(c, "<candidate>", "exec")
-        except (SyntaxError, ValueError):
-            return 0.0
-        return 0.25
-
-    return code.map(one)
+    """0.25 for code that parses; nothing is run."""
+    return code.map(_parses) * 0.25
 
 
 def reward_correctness(allow: bool = False, seconds: int = 8):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions import text as T
 from ..functions.vector import hashed_embedding, mean_pool
+from ..staging import stage
 
 
 def reduced(df: DataFrame, n: int, cfg: Config = DEFAULT) -> tuple[DataFrame, int]:
@@ -71,12 +72,15 @@ def best_mixture(df: DataFrame, n: int, d: int, ks: list[int], seed: int, tries:
 
 
 def _covariance(df: DataFrame) -> np.ndarray:
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    rows = df.select(vector_to_array("features").alias("f"))
-    m = RowMatrix(rows.rdd.map(lambda r: Vectors.dense(r["f"])))
-    return np.array(m.computeCovariance().toArray())
+    """Sums of products of centred features, pair by pair of positions; d * (d + 1) / 2 numbers come to the driver."""
+    d = len(df.select("features").first()["features"])
+    pairs = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.transform(F.sequence(i, F.lit(d - 1)), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
+    at = lambda k: F.element_at("f", F.col(f"p.{k}") + 1)
+    each = df.select(vector_to_array("features").alias("f")).select("f", pairs.alias("p")).groupBy("p.i", "p.j").agg(F.covar_samp(at("i"), at("j")).alias("c"))
+    out = np.zeros((d, d))
+    for r in each.collect():
+        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["c"]
+    return out
 
 
 def soft_clusters(df: DataFrame, cfg: Config = DEFAULT, ks: list[int] | None = None) -> DataFrame:
@@ -92,7 +96,7 @@ def soft_clusters(df: DataFrame, cfg: Config = DEFAULT, ks: list[int] | None = N
     model = None
     if n >= 3:
         rows, d = reduced(df, n, cfg)
-        rows = rows.cache()
+        rows = stage(rows, "reduced")
         model = best_mixture(rows, n, d, ks, cfg.seed, refine=refine)
     if model is None:
         return df.select("id", F.lit(0).alias("cluster_id"))
@@ -116,20 +120,18 @@ def lead_summary(joined, n_words: int = 80):
 def build_tree(leaves: DataFrame, cfg: Config = DEFAULT, summarise: Callable = lead_summary, embed: Callable | None = None, ks: list[int] | None = None) -> DataFrame:
     """All nodes above ``leaves`` (id, content, embedding): id, level, content, embedding, children_ids, cluster_id.
 
-    Levels rise until few nodes or a single cluster are left. ``summarise`` maps a column of joined texts to summaries,
-    ``embed`` a column of texts to vectors; each level is cut off by a checkpoint in the shared folder if there is one.
+    Levels rise until few nodes or a single cluster are left. ``summarise`` maps a column of joined texts to summaries and
+    ``embed`` a column of texts to vectors; ``functions.models`` makes such columns from Python models. Each level is written
+    to the shared folder.
     """
     spark = leaves.sparkSession
     dim = len(leaves.select("embedding").first()["embedding"])
     embed = embed or (lambda c: hashed_embedding(T.tokens(c), dim))
-    keep = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) else (lambda d: d.cache())
-    if not spark.sparkContext.getCheckpointDir() and spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     current, out = leaves.select("id", "content", "embedding"), None
     for level in range(1, cfg.max_levels + 1):
         if current.count() <= cfg.min_nodes:
             break
-        member = keep(soft_clusters(current, cfg, ks))
+        member = stage(soft_clusters(current, cfg, ks), "members")
         if member.select("cluster_id").distinct().count() <= 1:
             break
         joined = member.join(current.select("id", "content"), "id")
@@ -138,7 +140,7 @@ def build_tree(leaves: DataFrame, cfg: Config = DEFAULT, summarise: Callable = l
         nodes = texts.join(kids, "cluster_id").select(
             F.xxhash64(F.lit(level), "cluster_id", "children_ids").alias("id"), F.lit(level).alias("level"), summarise(F.col("joined")).alias("content"), "children_ids", "cluster_id"
         )
-        nodes = keep(nodes.withColumn("embedding", embed(F.col("content"))))
+        nodes = stage(nodes.withColumn("embedding", embed(F.col("content"))), "nodes")
         out = nodes if out is None else out.unionByName(nodes)
         current = nodes.select("id", "content", "embedding")
     if out is None:

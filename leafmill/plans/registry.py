@@ -6,7 +6,6 @@ the label is the cluster, and the query is vector 0.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +15,8 @@ from .. import schemas
 from ..config import DEFAULT
 from ..functions import text as T
 from ..functions.vector import cosine, mean_pool
-from ..operators import chunk, lexical, metrics, retrieve, segments, store, trainprep, tree
+from ..operators import chunk, lexical, metrics, retrieve, search, segments, store, trainprep, tree
+from ..staging import shared_root
 from ..streaming import watch
 
 QUERIES: dict = {}
@@ -125,23 +125,33 @@ def chunk_parents_children(spark, d):
     return parents.groupBy("doc_id").agg(F.count("*").alias("n_parents"), F.sum("token_count").alias("tokens")).join(n, "doc_id").select("doc_id", "n_parents", "n_children", "tokens")
 
 
+#: A source file of a document: its whole text as comments' place in a class and a function.
+SOURCE_SQL = "'import os' || chr(10) || 'class A' || doc_id || ':' || chr(10) || '    def f(self): return 1' || chr(10) || text || chr(10) || 'def g(x):' || chr(10) || '    return x'"
+
+
+def source_text():
+    return F.concat(F.lit("import os\nclass A"), F.col("doc_id").cast("string"), F.lit(":\n    def f(self): return 1\n"), F.col("text"), F.lit("\ndef g(x):\n    return x"))
+
+
 @query(
-    "WITH s AS (SELECT doc_id, string_split(regexp_replace('import os' || chr(10) || 'class A' || doc_id || ':' || chr(10) || '    def f(self): return 1' || chr(10) || 'def g(x):' || chr(10) || '    return x', '(?m)^([ \\t]*(?:def |async def |class |fn |pub fn |function |#include|namespace ))', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM documents) "
-    "SELECT doc_id, (i - 1)::INT AS block, rtrim(parts[i], chr(10) || ' ') AS content FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM s)"
+    f"WITH s AS (SELECT doc_id, string_split(regexp_replace({SOURCE_SQL}, '(?m)^([ \\t]*(?:def |async def |class |fn |pub fn |function |#include|namespace ))', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM documents) "
+    "SELECT doc_id, (i - 1)::INT AS block, md5(rtrim(parts[i], chr(10) || ' ')) AS content_md5 FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM s)"
 )
 def code_split(spark, d):
-    text = F.concat(F.lit("import os\nclass A"), F.col("doc_id").cast("string"), F.lit(":\n    def f(self): return 1\ndef g(x):\n    return x"))
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(T.code_blocks(text)).alias("block", "raw"))
-    return rows.select("doc_id", "block", T.rstrip(F.col("raw")).alias("content"))
+    """Whole texts inside of code."""
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(T.code_blocks(source_text())).alias("block", "raw"))
+    return rows.select("doc_id", "block", F.md5(T.rstrip(F.col("raw"))).alias("content_md5"))
 
 
-SNIPPETS = ["def f(x):\n  pass", "x = 1\nfrom a import b", "#include <v>\nint x;", "fn main() { let mut x = 1; }", "const a = () => { }", "std::vec", "plain words", "let x = 1; impl Foo"]
+#: What stands before a document's text, by the remainder of its id.
+HEADS = ("def f(x):\n  pass", "x = 1\nfrom a import b", "#include <v>\nint x;", "fn main() { let mut x = 1; }", "const a = () => { }", "std::vec", "plain words", "let x = 1; impl Foo")
+LANGUAGE_SQL = "CASE WHEN regexp_matches(h, '(?m)\\bdef\\s+\\w+\\(|\\bimport\\s+\\w+|^from\\s+\\w+\\s+import') THEN 'python' WHEN regexp_matches(h, '#include\\s*<|::|std::') THEN 'cpp' WHEN regexp_matches(h, '\\bfn\\s+\\w+\\(|let\\s+mut\\b|impl\\s+\\w+') THEN 'rust' WHEN regexp_matches(h, '\\bfunction\\s+\\w+\\(|=>\\s*\\{|const\\s+\\w+\\s*=') THEN 'javascript' END"
 
 
-@query("SELECT * FROM (VALUES (0, 'python'), (1, 'python'), (2, 'cpp'), (3, 'rust'), (4, 'javascript'), (5, 'cpp'), (6, NULL), (7, 'rust')) v(id, language)")
+@query(f"WITH c AS (SELECT doc_id, substr(CASE doc_id % 8 {' '.join(f"WHEN {i} THEN '" + h.replace(chr(10), "' || chr(10) || '") + "'" for i, h in enumerate(HEADS))} END || chr(10) || text, 1, 500) AS h FROM documents) SELECT doc_id, {LANGUAGE_SQL} AS language FROM c")
 def detect_language(spark, d):
-    rows = spark.createDataFrame(list(enumerate(SNIPPETS)), "id int, code string")
-    return rows.select("id", T.detect_language(F.col("code")).alias("language"))
+    heads = F.element_at(F.array(*map(F.lit, HEADS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", T.detect_language(F.concat(heads, F.lit("\n"), "text")).alias("language"))
 
 
 @query("SELECT sha256(text) AS sha256, min(doc_id) AS keep_id, count(*) AS n_copies FROM documents GROUP BY 1")
@@ -356,7 +366,8 @@ def token_f1(spark, d):
     t = table(spark, d, "conversations")
     u, a = t.where("role = 'user'").alias("u"), t.where("role = 'assistant'").alias("a")
     pairs = u.join(a, (F.col("u.conv_id") == F.col("a.conv_id")) & (F.col("a.turn") == F.col("u.turn") + 1))
-    return pairs.select("u.conv_id", "u.turn", F.round(metrics.token_f1(F.col("u.text"), F.col("a.text")), 6).alias("f1")).groupBy("conv_id", "turn", "f1").agg(F.count("*").alias("n"))
+    pairs = pairs.select("u.conv_id", "u.turn", F.col("u.text").alias("left"), F.col("a.text").alias("right"))
+    return metrics.token_f1(pairs, "left", "right", ["conv_id", "turn"]).withColumn("f1", F.round("f1", 6)).groupBy("conv_id", "turn", "f1").agg(F.count("*").alias("n"))
 
 
 EXAMPLES = "x AS (SELECT u.conv_id, u.turn, u.text AS instruction, CASE WHEN u.turn % 4 = 0 THEN '' ELSE 'turn ' || u.turn END AS input, a.text AS output FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
@@ -397,22 +408,26 @@ def calibration_sample(spark, d):
     return trainprep.sample(table(spark, d, "documents").select("doc_id"), 128, 0, "doc_id")
 
 
-@query("SELECT * FROM (VALUES ('p1', 'assert f(1)' || chr(10) || 'assert f(2)', 'f'), ('p3', 'assert g()', '')) v(problem, test_code, entry_point)")
+@query(
+    "SELECT md5(text) AS problem_md5, CASE WHEN turn % 3 = 2 THEN 'assert g()' ELSE 'assert f(' || conv_id || ')' || chr(10) || 'assert f(2)' END AS test_code, CASE WHEN turn % 3 = 2 THEN '' ELSE 'f' END AS entry_point FROM conversations WHERE role = 'user' AND turn % 3 <> 1 AND text <> ''"
+)
 def grpo_prepare(spark, d):
-    rows = spark.createDataFrame(
-        [("p1", '{"test_cases": ["assert f(1)", "assert f(2)"], "function_name": "f"}'), ("p2", "{broken"), ("p3", '{"tests": ["assert g()"]}'), ("", '{"tests": ["x"]}')], "prompt string, verification_info string"
-    )
+    """User turns as problems, with tests as JSON under either name or malformed."""
+    c = F.col("conv_id").cast("string")
+    full = F.concat(F.lit('{"test_cases": ["assert f('), c, F.lit(')", "assert f(2)"], "function_name": "f"}'))
+    info = F.when(F.col("turn") % 3 == 0, full).when(F.col("turn") % 3 == 1, F.lit("{broken")).otherwise(F.lit('{"tests": ["assert g()"]}'))
+    rows = table(spark, d, "conversations").where("role = 'user'").select(F.col("text").alias("prompt"), info.alias("verification_info"))
     chats = trainprep.coding_chats(trainprep.coding_a(rows))
-    return chats.select(F.element_at("prompt", 2)["content"].alias("problem"), "test_code", "entry_point")
+    return chats.select(F.md5(F.element_at("prompt", 2)["content"]).alias("problem_md5"), "test_code", "entry_point")
 
 
-COMPLETIONS = "c AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '<reasoning>' || left(text, 40) || '</reasoning>' || chr(10) || '<code>' || chr(10) || '```python' || chr(10) || 'x = ' || doc_id || chr(10) || '```' || chr(10) || '</code>' WHEN doc_id % 3 = 1 THEN '```' || chr(10) || 'y = ' || doc_id || chr(10) || '```' ELSE text END AS t FROM documents)"
+COMPLETIONS = "c AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '<reasoning>' || text || '</reasoning>' || chr(10) || '<code>' || chr(10) || '```python' || chr(10) || 'x = ' || doc_id || chr(10) || '```' || chr(10) || '</code>' WHEN doc_id % 3 = 1 THEN text || chr(10) || '```' || chr(10) || 'y = ' || doc_id || chr(10) || '```' ELSE text END AS t FROM documents)"
 
 
 def completions(spark, d) -> DataFrame:
     i = F.col("doc_id").cast("string")
-    full = F.concat(F.lit("<reasoning>"), F.expr("left(text, 40)"), F.lit("</reasoning>\n<code>\n```python\nx = "), i, F.lit("\n```\n</code>"))
-    bare = F.concat(F.lit("```\ny = "), i, F.lit("\n```"))
+    full = F.concat(F.lit("<reasoning>"), F.col("text"), F.lit("</reasoning>\n<code>\n```python\nx = "), i, F.lit("\n```\n</code>"))
+    bare = F.concat(F.col("text"), F.lit("\n```\ny = "), i, F.lit("\n```"))
     return table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, full).when(F.col("doc_id") % 3 == 1, bare).otherwise(F.col("text")).alias("t"))
 
 
@@ -426,41 +441,77 @@ def extract_code(spark, d):
     return completions(spark, d).select("doc_id", T.python_code(F.col("t")).alias("code"))
 
 
-@query("SELECT * FROM (VALUES (1, 0.25::DOUBLE), (2, 0.0::DOUBLE), (3, 0.0::DOUBLE)) v(id, reward)")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 0.25::DOUBLE ELSE 0.0 END AS reward FROM documents")
 def reward_syntax(spark, d):
-    rows = spark.createDataFrame([(1, "x = 1"), (2, "def"), (3, "")], "id int, code string")
-    return rows.select("id", trainprep.reward_syntax("code").alias("reward"))
-
-
-@query("SELECT * FROM (VALUES (1, 'Figure 2 shows'), (2, 'near'), (3, '')) v(img, caption)")
+    """Whole texts as a string in code that parses, or after code that does not."""
+    safe = F.replace(F.replace(F.replace("text", F.lit("\\"), F.lit(" ")), F.lit("'"), F.lit(" ")), F.lit("\u0000"), F.lit(" "))
+    code = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x = \'\'\'"), safe, F.lit("\'\'\'"))).otherwise(F.concat(F.lit("def (\n"), F.col("text")))
+    return table(spark, d, "documents").select("doc_id", trainprep.reward_syntax(code).alias("reward"))
+
+
+#: Documents as parsed pages: a line is a block, eight lines a page; every sixth block is an image, some text is in a code font.
+BLOCKS = """b AS (SELECT doc_id, (pos // 8 + 1)::INT AS page, (pos % 8)::INT AS block, (pos % 8 = 5)::INT AS type, 40 + (doc_id % 50)::INT AS side, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS bare, line,
+ pos % 4 = 2 AS code FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)),
+t AS (SELECT * FROM b WHERE type = 0 AND bare <> ''), im AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY block) AS idx FROM b WHERE type = 1 AND side * side >= 4096)"""
+SEGS = BLOCKS + """, i AS (SELECT *, 2 * sum(code::INT) OVER (PARTITION BY doc_id, page ORDER BY block) - code::INT AS island FROM t),
+s AS (SELECT doc_id, page, island, code, min(block) AS ord, string_agg(line, chr(10) ORDER BY block) AS text FROM i GROUP BY doc_id, page, island, code)"""
+CAPTION_SQL = "(?i)^\\s*(fig(?:ure)?\\.?|table|chart|scheme|plot|diagram)\\b"
+CAPTIONS = f"""n AS (SELECT im.doc_id, im.page, im.block, arg_min(t.bare, {{'g': t.block * 100 - (im.block * 100 + 90), 'b': t.block}}) AS caption FROM im JOIN t ON t.doc_id = im.doc_id AND t.page = im.page
+ WHERE t.block * 100 >= im.block * 100 + 88 AND (regexp_matches(t.line, '{CAPTION_SQL}') OR t.block * 100 - (im.block * 100 + 90) < 40) GROUP BY im.doc_id, im.page, im.block)"""
+
+
+def blocks(spark, d) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    block, side = F.col("pos") % 8, (40 + F.col("doc_id") % 50).cast("int")
+    image, y = block == 5, block * 100.0
+    font = F.when(F.col("pos") % 4 == 2, "Courier").otherwise("Times")
+    spans = F.when(~image, F.array(F.struct(F.col("line").alias("text"), font.alias("font"))))
+    box = F.struct(F.lit(0.0).alias("x0"), y.alias("y0"), F.lit(60.26).alias("x1"), (y + 90).alias("y1"))
+    return rows.select("doc_id", (F.floor(F.col("pos") / 8) + 1).cast("int").alias("page"), block.alias("block"), image.cast("int").alias("type"), box.alias("bbox"), side.alias("width"), side.alias("height"), spans.alias("spans"), F.lit(100.0).alias("page_w"), F.lit(90.0).alias("page_h"))
+
+
+@query(f"WITH {BLOCKS}, {CAPTIONS} SELECT im.doc_id, im.page, im.block, md5(coalesce(n.caption, '')) AS caption_md5 FROM im LEFT JOIN n USING (doc_id, page, block)")
 def nearest_caption(spark, d):
-    images = spark.createDataFrame([(1, 1, 1, 100.0), (1, 1, 2, 300.0), (1, 2, 3, 50.0)], "doc_id int, page int, img int, iy1 double")
-    texts = spark.createDataFrame([(1, 1, 0, 20.0, "above"), (1, 1, 1, 190.0, " Figure 2 shows "), (1, 1, 2, 310.0, "near"), (1, 1, 3, 310.0, "tie"), (1, 2, 4, 200.0, "far")], "doc_id int, page int, block int, by0 double, text string")
-    return segments.nearest_caption(images, texts).select("img", "caption")
+    rows = blocks(spark, d)
+    images = segments.image_blocks(rows).select("doc_id", "page", F.col("block").alias("img"), F.col("bbox.y1").alias("iy1"))
+    texts = segments.text_blocks(rows).select("doc_id", "page", "block", F.col("bbox.y0").alias("by0"), "text")
+    return segments.nearest_caption(images, texts).select("doc_id", "page", F.col("img").alias("block"), F.md5("caption").alias("caption_md5"))
 
 
-def blocks(spark) -> DataFrame:
-    rows = [
-        (1, 1, 0, 0, (0.0, 0.0, 10.0, 10.0), 0, 0, [("Intro text", "Times")]), (1, 1, 1, 0, (0.0, 10.0, 10.0, 20.0), 0, 0, [("more", "Times")]),
-        (1, 1, 2, 0, (0.0, 20.0, 10.0, 30.0), 0, 0, [("def f(x): return x", "Courier")]), (1, 1, 3, 0, (0.0, 30.0, 10.0, 40.0), 0, 0, [("tail", "Times")]),
-        (1, 1, 4, 1, (0.0, 40.0, 90.26, 90.0), 100, 100, []), (1, 1, 5, 1, (0.0, 0.0, 1.0, 1.0), 8, 8, []), (1, 2, 0, 1, (0.0, 0.0, 100.0, 90.0), 900, 900, []), (1, 2, 1, 0, (0.0, 0.0, 1.0, 1.0), 0, 0, [("3", "Times")]),
-    ]
-    return spark.createDataFrame([(*r, 100.0, 100.0) for r in rows], "doc_id int, page int, block int, type int, bbox struct<x0:double,y0:double,x1:double,y1:double>, width int, height int, spans array<struct<text:string,font:string>>, page_w double, page_h double")
+@query(f"WITH {SEGS} SELECT doc_id, page, ord, CASE WHEN code THEN 'code' ELSE 'text' END AS kind, md5(text) AS text_md5, CASE WHEN code THEN (SELECT {LANGUAGE_SQL} FROM (SELECT substr(s.text, 1, 500) AS h)) END AS language FROM s")
+def page_segments(spark, d):
+    return segments.page_segments(blocks(spark, d)).select("doc_id", "page", "ord", "kind", F.md5("text").alias("text_md5"), "language")
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'text', 'Intro text' || chr(10) || 'more', NULL), (1, 2, 'code', 'def f(x): return x', 'python'), (1, 3, 'text', 'tail', NULL), (2, 1, 'text', '3', NULL)) v(page, ord, kind, text, language)")
-def page_segments(spark, d):
-    return segments.page_segments(blocks(spark)).select("page", "ord", "kind", "text", "language")
+SCANS = "sc AS (SELECT b.doc_id, b.page FROM b LEFT JOIN (SELECT doc_id, page, sum(length(bare)) AS chars FROM t GROUP BY doc_id, page) c USING (doc_id, page) WHERE b.type = 1 AND coalesce(c.chars, 0) < 100)"
 
 
-@query("SELECT * FROM (VALUES (1, 2)) v(doc_id, page)")
+@query(f"WITH {BLOCKS}, {SCANS} SELECT doc_id, page FROM sc")
 def scanned_pages(spark, d):
-    return segments.scanned_pages(blocks(spark))
+    return segments.scanned_pages(blocks(spark, d))
 
 
-@query("SELECT * FROM (VALUES (1, 4, 'p0001_img01', 90.3::DOUBLE), (2, 0, 'p0002_img01', 100.0::DOUBLE)) v(page, block, image_name, x1)")
+@query(f"WITH {BLOCKS} SELECT doc_id, page, block, 'p' || lpad(page::VARCHAR, 4, '0') || '_img' || lpad(idx::VARCHAR, 2, '0') AS image_name, 60.3::DOUBLE AS x1 FROM im")
 def image_blocks(spark, d):
-    return segments.image_blocks(blocks(spark)).select("page", "block", "image_name", F.col("bbox.x1").alias("x1"))
+    return segments.image_blocks(blocks(spark, d)).select("doc_id", "page", "block", "image_name", F.col("bbox.x1").alias("x1"))
+
+
+@query(
+    f"WITH {SEGS}, {CAPTIONS}, {SCANS}, u AS (SELECT doc_id, page, 0 AS rank, ord, CASE WHEN code THEN 'code' ELSE 'text' END AS kind, text, false AS is_scan FROM s UNION ALL "
+    "SELECT im.doc_id, im.page, 1, im.block, 'image', coalesce(n.caption, ''), sc.page IS NOT NULL FROM im LEFT JOIN n USING (doc_id, page, block) LEFT JOIN sc ON sc.doc_id = im.doc_id AND sc.page = im.page) "
+    "SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id ORDER BY page, rank, ord) - 1)::INT AS seg_ord, kind, md5(text) AS text_md5, is_scan FROM u"
+)
+def document_segments(spark, d):
+    """Text, code and figures of all pages in one order."""
+    return segments.document_segments(blocks(spark, d)).select("doc_id", "page", "seg_ord", "kind", F.md5("text").alias("text_md5"), "is_scan")
+
+
+@query(f"WITH {BLOCKS}, {SCANS} SELECT count(*) FILTER (WHERE sc.page IS NULL AND im.doc_id % 3 <> 0) AS captioned, count(*) FILTER (WHERE sc.page IS NOT NULL AND im.doc_id % 3 <> 0) AS transcribed, count(*) FILTER (WHERE im.doc_id % 3 = 0) AS \"left\" FROM im LEFT JOIN sc ON sc.doc_id = im.doc_id AND sc.page = im.page")
+def caption_counts(spark, d):
+    """A model that fails for a third of the documents."""
+    segs = segments.document_segments(blocks(spark, d))
+    said = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("seen "), "image_path"))
+    return segments.caption_counts(segs, segments.caption_images(segs, said, said), ["doc_id", "seg_ord"])
 
 
 @query("SELECT doc_id, 'domain' AS broken FROM documents WHERE lang = 'de' UNION ALL SELECT doc_id, 'no_code_in_trading' FROM documents WHERE lang = 'es' AND doc_id % 2 = 0 UNION ALL SELECT doc_id, 'language_only_for_code' FROM documents WHERE lang = 'fr' AND doc_id % 2 = 1")
@@ -499,8 +550,7 @@ def build_tree(spark, d):
 @query("SELECT sha256(item) AS sha256, count(*) AS n FROM (SELECT DISTINCT text AS item FROM benchmark) GROUP BY 1")
 def stream_ingest_dedup(spark, d):
     """Files dropped in a folder, some of them twice; each content is ingested once."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}" if root else "file://" + tempfile.mkdtemp(prefix="stream-")
+    base = f"{shared_root(spark)}/stream-{uuid.uuid4().hex[:12]}"
     items = table(spark, d, "benchmark").select("text")
     items.unionByName(items.limit(7)).repartition(8).write.option("maxRecordsPerFile", 1).text(f"{base}/in")
     stream = watch.watch(spark, f"{base}/in").select("path", F.sha2(F.expr("substring(content, 1, length(content) - 1)"), 256).alias("sha256"))
@@ -508,6 +558,141 @@ def stream_ingest_dedup(spark, d):
     return spark.read.parquet(f"{base}/out").groupBy("sha256").agg(F.count("*").alias("n"))
 
 
+TREE = f"""sims AS (SELECT vec_id AS id, {SIM} AS sim, CASE WHEN vec_id < 8 THEN 2 WHEN vec_id < 32 THEN 1 ELSE 0 END AS level FROM embeddings),
+top2 AS (SELECT id FROM sims WHERE level = 2 ORDER BY sim DESC, id LIMIT 6), top1 AS (SELECT id FROM sims WHERE level = 1 AND id // 4 IN (SELECT id FROM top2) ORDER BY sim DESC, id LIMIT 6),
+up AS (SELECT l.id, greatest(m.sim, t.sim) AS best FROM sims l JOIN sims m ON m.id = l.id % 24 + 8 JOIN sims t ON t.id = (l.id % 24 + 8) // 4 WHERE l.level = 0),
+cand AS ((SELECT 'top_down' AS mode, id, sim AS score FROM sims WHERE level = 0 AND id % 24 + 8 IN (SELECT id FROM top1) ORDER BY sim DESC, id LIMIT 50) UNION ALL (SELECT 'collapsed', id, sim + 0.3 * best FROM sims JOIN up USING (id) WHERE level = 0 ORDER BY sim + 0.3 * best DESC, id LIMIT 50)),
+ws AS (SELECT mode, id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM cand JOIN documents ON doc_id = id), tf AS (SELECT mode, id, term, count(*) AS tf FROM ws WHERE term IN ('tion', 'une', 'der') GROUP BY ALL),
+df AS (SELECT mode, term, count(*) AS df FROM tf GROUP BY ALL), nn AS (SELECT mode, count(*) AS n FROM cand GROUP BY mode), lex AS (SELECT mode, id, sum((1 + ln(tf)) * ln(1 + n::DOUBLE / df)) AS score FROM tf JOIN df USING (mode, term) JOIN nn USING (mode) GROUP BY mode, id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY score DESC, id) AS r FROM cand UNION ALL SELECT *, row_number() OVER (PARTITION BY mode ORDER BY score DESC, id) FROM lex), rrf AS (SELECT mode, id, sum(1.0::DOUBLE / (60 + r)) AS score FROM rk WHERE r <= 24 GROUP BY mode, id),
+hit AS (SELECT mode, 'dense' AS fusion, id, score FROM cand UNION ALL SELECT mode, 'lexical', id, score FROM lex UNION ALL SELECT mode, 'hybrid', id, score FROM rrf),
+par AS (SELECT mode, fusion, id // 4 AS parent_id, max(score) AS score, count(*) AS n_children_hit FROM hit GROUP BY ALL), best AS (SELECT *, row_number() OVER (PARTITION BY mode, fusion ORDER BY score DESC, parent_id) AS n FROM par)"""
+
+
+def searched(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(chunks, edges): vectors as leaves and two levels above them, with the texts of the documents of the same number."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    level = F.when(F.col("id") < 8, 2).when(F.col("id") < 32, 1).otherwise(0)
+    chunks = vectors(spark, d).withColumn("level", level).withColumn("is_searchable", F.lit(True)).join(texts, "id", "left")
+    edges = chunks.where("level < 2").select(F.when(F.col("level") == 1, F.expr("id div 4")).otherwise(F.col("id") % 24 + 8).alias("parent_id"), F.col("id").alias("child_id"))
+    return chunks, edges
+
+
+@query(f"WITH {TREE} SELECT mode, fusion, parent_id, round(score, 6) AS score, n_children_hit FROM best WHERE n <= 6")
+def search_modes(spark, d):
+    """All six ways to search, by the same request otherwise."""
+    chunks, edges = searched(spark, d)
+    out = None
+    for mode in search.MODES:
+        for fusion in search.FUSIONS:
+            got = search.search(chunks, edges, search.Request("tion une der", mode, fusion), first_vector(spark, d))
+            got = got.select(F.lit(mode).alias("mode"), F.lit(fusion).alias("fusion"), "parent_id", F.round("score", 6).alias("score"), "n_children_hit")
+            out = got if out is None else out.unionByName(got)
+    return out
+
+
+STORED = "n AS (SELECT 1000000 + label AS id, 1 AS level, list(vec_id) AS kids, 'summary of  ' || label AS content FROM embeddings GROUP BY label), m AS (SELECT 1000000 + label AS parent, vec_id FROM embeddings)"
+
+
+@query(f"WITH {STORED} SELECT vec_id AS id, 0 AS level, 1::BIGINT AS n_parents, 0::BIGINT AS n_children, NULL::INT AS token_count, NULL AS content FROM m UNION ALL SELECT id, level, 0, len(kids), 3, content FROM n")
+def stored_summaries(spark, d):
+    """Summary rows among chunks, and the chunks pointing back to them."""
+    v = vectors(spark, d)
+    empty = F.array().cast("array<long>")
+    chunks = v.select("id", F.lit(0).alias("level"), F.lit(True).alias("is_searchable"), empty.alias("parent_ids"), empty.alias("children_ids"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("int").alias("token_count"), "embedding")
+    nodes = v.groupBy("label").agg(F.collect_list("id").alias("children_ids")).select((F.col("label") + 1_000_000).cast("long").alias("id"), F.lit(1).alias("level"), "children_ids", F.concat(F.lit("summary of  "), F.col("label").cast("string")).alias("content"))
+    got = store.insert_summaries(chunks, nodes)
+    return got.select("id", "level", F.size("parent_ids").cast("long").alias("n_parents"), F.size("children_ids").cast("long").alias("n_children"), "token_count", "content")
+
+
+@query("SELECT 'leaves' AS what, count(*) AS n FROM embeddings UNION ALL SELECT 'unembedded', 0 UNION ALL SELECT 'childless', 0 UNION ALL SELECT 'orphans', count(*) FILTER (WHERE label % 3 = 0) FROM embeddings")
+def store_readiness(spark, d):
+    v = vectors(spark, d)
+    nodes = v.where("domain <> 0").groupBy("label").agg(F.collect_list("id").alias("children_ids"))
+    return store.readiness(v.withColumn("level", F.lit(0)), nodes)
+
+
+@query("SELECT doc_id AS id, coalesce(quality, -1)::INT AS quality FROM (SELECT doc_id, quality FROM labels UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))")
+def append_missing(spark, d):
+    old = table(spark, d, "labels").select("doc_id", "quality")
+    new = table(spark, d, "documents").select("doc_id", F.lit(None).cast("int").alias("quality"))
+    return store.append_missing(old, new, "doc_id").select(F.col("doc_id").alias("id"), F.coalesce("quality", F.lit(-1)).alias("quality"))
+
+
+@query("SELECT l.doc_id AS id, d.source || '/' || d.doc_id AS source_path, d.lang AS title FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE contains(d.source || '/' || d.doc_id, 'src1')")
+def chunks_of_source(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("source_path"), F.col("lang").alias("title"))
+    chunks = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"))
+    return store.with_documents(chunks, docs, "src1").select("id", "source_path", "title")
+
+
+@query("WITH t AS (SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x, doc_id FROM documents) SELECT doc_id, CASE WHEN length(x) > 100 THEN left(x, 99) || '…' ELSE x END AS short FROM t")
+def shortened_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.shortened(F.col("text"), 100).alias("short"))
+
+
+@query("WITH w AS (SELECT u.conv_id, u.turn, list_filter(string_split_regex(lower(a.text), '[^a-z0-9]+'), lambda x: x <> '') AS x, list_filter(string_split_regex(lower(u.text), '[^a-z0-9]+'), lambda x: x <> '') AS y FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant') SELECT conv_id, turn, round(CASE WHEN len(x) > 0 THEN coalesce(list_sum(list_transform(list_distinct(x), lambda t: least(len(list_filter(x, lambda q: q = t)), len(list_filter(y, lambda q: q = t))))), 0)::DOUBLE / len(x) END, 6) AS faithfulness FROM w")
+def answer_faithfulness(spark, d):
+    t = table(spark, d, "conversations")
+    u, a = t.where("role = 'user'").alias("u"), t.where("role = 'assistant'").alias("a")
+    pairs = u.join(a, (F.col("u.conv_id") == F.col("a.conv_id")) & (F.col("a.turn") == F.col("u.turn") + 1)).select("u.conv_id", "u.turn", F.col("a.text").alias("answer"), F.col("u.text").alias("context"))
+    return metrics.faithfulness(pairs, "answer", "context", ["conv_id", "turn"]).withColumn("faithfulness", F.round("faithfulness", 6))
+
+
+@query("SELECT 2::INT AS depth, count(*) AS n_nodes, 0::BIGINT AS n_singletons, 0::BIGINT AS n_orphans FROM embeddings")
+def tree_report(spark, d):
+    chunks, edges = searched(spark, d)
+    return metrics.tree_report(chunks, edges)
+
+
+@query("SELECT md5(trim(text)) AS question_md5, count(*) AS n FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY 1")
+def coder_rows(spark, d):
+    rows = trainprep.coder_rows(table(spark, d, "conversations").where("role = 'user'").select(F.col("text").alias("problem"), F.lit("x").alias("solution")))
+    return rows.groupBy(F.md5("question").alias("question_md5")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT md5('Context:' || chr(10) || left(d.text, 1500) || chr(10) || chr(10) || 'Question: ' || b.text || chr(10) || chr(10) || 'Answer:') AS prompt_md5 FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40")
+def grounded_prompts(spark, d):
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
+    return docs.join(items, F.col("item_id") == F.col("doc_id") % 40).select(F.md5(trainprep.grounded_prompt(F.col("text"), F.col("q"))).alias("prompt_md5"))
+
+
+@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('0:' || doc_id), doc_id) AS n FROM documents) WHERE n <= 20")
+def capped_sources(spark, d):
+    return trainprep.capped(table(spark, d, "documents"), "source", 20).select("source", "doc_id")
+
+
+@query("SELECT id, domain, CASE WHEN n % 2 = 1 THEN 'paraphrase' ELSE 'exact' END AS kind FROM (SELECT vec_id AS id, (label % 3)::INT AS domain, row_number() OVER (PARTITION BY label % 3 ORDER BY md5('0:' || vec_id), vec_id) AS n FROM embeddings) WHERE n <= 100")
+def question_sample(spark, d):
+    return trainprep.question_sample(vectors(spark, d).select("id", F.col("domain").cast("int").alias("domain")))
+
+
+@query("SELECT 'd' AS which, count(*) AS n FROM documents UNION ALL SELECT 'b', count(*) FROM benchmark")
+def concatenated(spark, d):
+    docs = table(spark, d, "documents").select("text", F.lit("d").alias("which"))
+    return trainprep.all_of(docs, table(spark, d, "benchmark").select(F.lit("b").alias("which"), "text")).groupBy("which").agg(F.count("*").alias("n"))
+
+
+@query("WITH p AS (SELECT item_id AS cand, substr(text, 1, 1500) AS context FROM benchmark) SELECT (SELECT count(*) FROM documents) AS n_rows, (SELECT count(*) FROM documents) AS n_three, 0::BIGINT AS n_foreign")
+def distractor_contexts(spark, d):
+    """Rows with three parts, and parts that are neither the row's own nor of the pool."""
+    pool = table(spark, d, "benchmark").select(F.col("item_id").alias("cand"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("context"))
+    got = trainprep.distractors(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("own "), F.col("doc_id").cast("string")).alias("context")), pool)
+    parts = F.split("retrieved", "\n\n---\n\n")
+    known = F.filter(parts, lambda x: (x == F.col("context")) | x.rlike("^item [0-9]+$"))
+    return got.agg(F.count("*").alias("n_rows"), F.count_if(F.size(F.array_distinct(parts)) == 3).alias("n_three"), F.sum(F.size(parts) - F.size(known)).alias("n_foreign"))
+
+
+@query(f"WITH {CENTRES}, r AS (SELECT l.vec_id AS id, c.label AS cluster_id, list_cosine_similarity(l.embedding::DOUBLE[], c.centre) AS sim FROM embeddings l JOIN c ON l.label % 3 = c.label % 3 WHERE l.vec_id % 50 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, cluster_id) AS n FROM r), e AS (SELECT label AS cluster_id, vec_id AS id FROM embeddings WHERE vec_id % 50 <> 0 UNION SELECT cluster_id, id FROM k WHERE n = 1) SELECT cluster_id, count(*) AS n FROM e GROUP BY cluster_id HAVING count(*) > 40")
+def stale_clusters(spark, d):
+    """Clusters that have grown too large once new leaves are placed."""
+    v = vectors(spark, d)
+    cs = centres(spark, d).select(F.col("label").alias("cluster_id"), "domain", F.col("embedding").alias("centre"))
+    place = watch.incremental(cs, lambda files: files)
+    placed = place(v.where("id % 50 = 0").select("id", "domain", "embedding"))
+    return watch.to_summarise(v.where("id % 50 <> 0").select("id", F.col("label").alias("cluster_id")), placed, 40)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -12,16 +12,23 @@ from pyspark.sql import functions as F
 from ..config import CODE_EXTENSIONS, SKIP_DIRS
 
 
+#: What an extractor tells of a page's blocks.
+BLOCKS = "page int, block int, type int, bbox struct<x0:double,y0:double,x1:double,y1:double>, width int, height int, spans array<struct<text:string,font:string>>, page_w double, page_h double"
+
+
 def scan(spark: SparkSession, root: str, domain: str, content: bool = True) -> DataFrame:
     """Files under root/domain: PDF for every domain, source files for ``ai`` too; folders in SKIP_DIRS are left out.
 
     path, relative, suffix, language, length, and content unless it is not wanted. A missing folder gives no rows,
-    and neither do files of length 0.
-    Folders are judged by the path below the root, not by where the root lies.
+    and neither do files of length 0. Other suffixes are left out when files are listed, before any is read. Folders are
+    judged by the path below the root, not by where the root lies. A list without contents is in order of paths;
+    contents are not sorted.
     """
     base = f"{root.rstrip('/')}/{domain}"
+    letters = lambda s: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s)
+    glob = "*{" + ",".join(map(letters, [".pdf", *(CODE_EXTENSIONS if domain == "ai" else ())])) + "}"
     try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(base)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -35,7 +42,8 @@ def scan(spark: SparkSession, root: str, domain: str, content: bool = True) -> D
     parts = F.split("relative", "/")
     skipped = F.arrays_overlap(parts, F.array(*map(F.lit, SKIP_DIRS)))
     cols = ["path", "relative", "suffix", "language", "length", *(["content"] if content else [])]
-    return rows.where(wanted & ~skipped).select(*cols).orderBy("path")
+    found = rows.where(wanted & ~skipped).select(*cols)
+    return found if content else found.orderBy("path")
 
 
 def source_files(files: DataFrame) -> DataFrame:
@@ -63,8 +71,37 @@ def pdf_files(files: DataFrame, extract: Callable[[bytes], list[dict]], schema:
     return files.where("suffix = '.pdf'").select("path", "content").mapInPandas(run, schema + ", path string")
 
 
+def segments_of(spark: SparkSession, root: str, domain: str, extract: Callable[[bytes], list[dict]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, segments) of all files of a domain: source files as one code segment, PDF files through ``extract``.
+
+    Files go by their suffix, in any letter case. ``extract`` gives a file's blocks as rows of ``BLOCKS``, with the file's title in
+    ``title`` if it has one; without it PDF files have documents but no segments. A title is that of the file, else its name
+    without the suffix.
+    """
+    from ..operators.segments import document_segments
+
+    found = scan(spark, root, domain)
+    key = F.xxhash64("path").alias("document_id")
+    code = source_files(found)
+    docs = code.select(key, "path", "title", "sha256", "n_pages")
+    segs = code.where("text IS NOT NULL").select(key, F.lit(1).alias("page"), F.lit(0).alias("seg_ord"), "text", F.lit("code").alias("kind"), "language", F.lit(None).cast("string").alias("image_path"), F.lit(False).alias("is_scan"))
+    pdf = found.where("suffix = '.pdf'")
+    stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
+    named = pdf.select(key, "path", stem.alias("stem"), F.sha2("content", 256).alias("sha256"))
+    if extract is None:
+        return docs.unionByName(named.select("document_id", "path", F.col("stem").alias("title"), "sha256", F.lit(0).alias("n_pages"))), segs
+    blocks = pdf_files(found, extract, BLOCKS + ", title string").withColumn("document_id", F.xxhash64("path"))
+    told = blocks.groupBy("document_id").agg(F.max("title").alias("told"), F.max("page").alias("n_pages"))
+    title = F.when(F.trim("told") != "", F.col("told")).otherwise(F.col("stem"))
+    docs = docs.unionByName(named.join(told, "document_id", "left").select("document_id", "path", title.alias("title"), "sha256", F.coalesce("n_pages", F.lit(0)).alias("n_pages")))
+    return docs, segs.unionByName(document_segments(blocks.withColumn("doc_id", F.col("document_id"))).withColumnRenamed("doc_id", "document_id"))
+
+
 def load_any(spark: SparkSession, path: str, tables: tuple[str, ...] = ()) -> DataFrame:
-    """Parquet files of a folder if there are any, else JSON lines, else the first catalog table that exists."""
+    """Parquet files of a folder if there are any, else JSON lines, else a catalog table, else a data set on disk.
+
+    A data set on disk is a folder of splits, each a folder of Parquet files; ``train`` is taken, else the first by name.
+    """
     for kind, pattern in (("parquet", "*.parquet"), ("json", "*.jsonl")):
         try:
             return spark.read.format(kind).load(f"{path.rstrip('/')}/{pattern}")
@@ -74,7 +111,17 @@ def load_any(spark: SparkSession, path: str, tables: tuple[str, ...] = ()) -> Da
     for name in tables:
         if spark.catalog.tableExists(name):
             return spark.table(name)
-    raise FileNotFoundError(path)
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path")
+        splits = files.select(F.element_at(F.split("path", "/"), -2).alias("split")).distinct()
+        first = splits.orderBy(F.col("split") != "train", "split").first()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        first = None
+    if first is None:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path.rstrip('/')}/{first['split']}")
 
 
 def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:

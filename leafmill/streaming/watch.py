@@ -33,12 +33,32 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, transform: Callable[
 
 
 def place(leaves: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Each leaf (id, domain, embedding) with the most similar cluster of its domain (cluster_id, domain, centre)."""
-    pairs = leaves.join(clusters, "domain").select("id", "cluster_id", cosine(F.col("embedding"), F.col("centre")).alias("sim"))
+    """Each leaf (id, domain, embedding) with the most similar cluster of its domain (cluster_id, domain, centre); leaves of other domains have none.
+
+    Clusters are dealt with their domains to 64 parts of the leaves, so that one domain may have most leaves.
+    """
+    part = F.pmod(F.xxhash64("id"), F.lit(64))
+    many = clusters.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
+    pairs = leaves.withColumn("part", part).join(many, ["domain", "part"]).select("id", "cluster_id", cosine(F.col("embedding"), F.col("centre")).alias("sim"))
     best = pairs.groupBy("id").agg(F.min_by(F.struct("cluster_id", "sim"), F.struct(-F.col("sim"), F.col("cluster_id"))).alias("b"))
     return best.select("id", "b.cluster_id", "b.sim")
 
 
+def incremental(clusters: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """A transform for ``ingest``: new files become leaves by ``embed`` (id, domain, embedding and others), each with its nearest cluster."""
+
+    def transform(files: DataFrame) -> DataFrame:
+        leaves = embed(files)
+        return leaves.join(place(leaves.select("id", "domain", "embedding"), clusters), "id", "left")
+
+    return transform
+
+
+def to_summarise(edges: DataFrame, placed: DataFrame, most: int) -> DataFrame:
+    """Clusters with more than ``most`` members after the leaves ``placed`` (id, cluster_id) have joined ``edges`` (id, cluster_id)."""
+    return stale(edges.select("cluster_id", "id").unionByName(placed.where("cluster_id IS NOT NULL").select("cluster_id", "id")).distinct(), most)
+
+
 def stale(edges: DataFrame, most: int) -> DataFrame:
     """Clusters with more than ``most`` members, to be summarised again."""
     return edges.groupBy("cluster_id").agg(F.count("*").alias("n")).where(F.col("n") > most)

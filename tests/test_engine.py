@@ -77,7 +77,8 @@ def test_scan_skips_folders_below_the_root_only(spark, tmp_path):
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_bytes(b" \n" if "empty" in name else b"a = '\xff'\n")
     got = files.scan(spark, str(root), "ai")
-    assert [r["relative"] for r in got.collect()] == ["empty.py", "p.PDF", "x.py"]
+    assert sorted(r["relative"] for r in got.collect()) == ["empty.py", "p.PDF", "x.py"]
+    assert [r["relative"] for r in files.scan(spark, str(root), "ai", content=False).collect()] == ["empty.py", "p.PDF", "x.py"]
     docs = {r["title"]: r for r in files.source_files(got).collect()}
     assert docs["x.py"]["text"] == "a = '\ufffd'\n" and docs["empty.py"]["text"] is None and docs["empty.py"]["n_pages"] == 0
     assert files.scan(spark, str(root), "trading").count() == 0
@@ -176,8 +177,14 @@ def test_metrics(spark):
     gold = spark.createDataFrame([("a", 11), ("b", 20), ("c", 1)], "query_id string, gold_parent_id long")
     r = metrics.retrieval_metrics(ranked, gold).first()
     assert r["n_queries"] == 3 and abs(r["recall_5"] - 2 / 3) < 1e-9 and abs(r["mrr"] - (0.5 + 1 / 3) / 3) < 1e-9
-    f = spark.createDataFrame([("a a b", "a b c"), ("", "")], "x string, y string").select(metrics.token_f1(F.col("x"), F.col("y")).alias("f")).collect()
-    assert abs(f[0]["f"] - 2 / 3) < 1e-9 and f[1]["f"] == 1.0
+    pairs = spark.createDataFrame([(1, "a a b", "a b c"), (2, "", ""), (2, "", None), (3, "a", None)], "k int, x string, y string")
+    f = sorted((r["k"], round(r["f1"], 9)) for r in metrics.token_f1(pairs, "x", "y", ["k"]).collect())
+    assert f == [(1, round(2 / 3, 9)), (2, 1.0), (2, 1.0), (3, 0.0)]
+    assert sorted((r["k"], r["faithfulness"]) for r in metrics.faithfulness(pairs, "x", "y", ["k"]).collect() if r["k"] != 2) == [(1, 2 / 3), (3, 0.0)]
+    said = spark.createDataFrame([(["a", "b"], ["a"]), ([], ["a"])], "cited array<string>, given array<string>")
+    assert [r[0] for r in said.select(metrics.citation_precision(F.col("cited"), F.col("given"))).collect()] == [0.5, None]
+    told = spark.createDataFrame([(True, True), (True, False), (False, True)], "refused boolean, should_refuse boolean")
+    assert tuple(metrics.refusal_metrics(told).first()) == (0.5, 0.5)
 
 
 def test_soft_clusters_cover_all_nodes(spark):
@@ -211,18 +218,103 @@ def test_stream_ingests_each_content_once_across_restarts(spark, tmp_path):
     assert spark.read.parquet(str(out)).select("sha256").distinct().count() == spark.read.parquet(str(out)).count() == 3
 
 
+def test_new_leaves_join_their_nearest_cluster(spark, tmp_path):
+    drop = tmp_path / "in"
+    drop.mkdir()
+    (drop / "a").write_bytes(b"1")
+    (drop / "b").write_bytes(b"2")
+    clusters = spark.createDataFrame([(1, "ai", [1.0, 0.0]), (2, "ai", [0.0, 1.0])], "cluster_id int, domain string, centre array<double>")
+    number = F.col("content").cast("string")
+    embed = lambda f: f.select(F.xxhash64("path").alias("id"), F.when(number == "1", "ai").otherwise("trading").alias("domain"), F.array(F.lit(0.1), number.cast("double")).alias("embedding"), number.alias("n"))
+    watch.ingest(watch.watch(spark, str(drop)), str(tmp_path / "out"), str(tmp_path / "state"), watch.incremental(clusters, embed)).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert {r["n"]: r["cluster_id"] for r in got.collect()} == {"1": 2, "2": None}
+    edges = spark.createDataFrame([(2, 5), (2, 6), (1, 7)], "cluster_id int, id long")
+    assert [tuple(r) for r in watch.to_summarise(edges, got, 2).collect()] == [(2, 3)]
+
+
 def test_command_line(spark, tmp_path, capsys):
     from leafmill import __main__ as cli
+    from leafmill.operators.search import Request
 
     src = tmp_path / "corpus" / "ai"
     src.mkdir(parents=True)
     (src / "one.py").write_text("def add(a, b):\n    return a + b\n")
     (src / "two.py").write_text("class Tree:\n    def grow(self):\n        return 'leaf'\n")
     cli.ingest(spark, str(tmp_path / "corpus"), ["ai"], str(tmp_path / "store"), 64)
-    assert "return a + b" in cli.ask(spark, str(tmp_path / "store"), "def add(a, b): return a + b", "ai", "dense", 1, 64).first()["content"]
-    assert "grow" in cli.ask(spark, str(tmp_path / "store"), "grow leaf", "ai", "lexical", 1, 64).first()["content"]
+    ask = lambda text, *how: cli.ask(spark, str(tmp_path / "store"), Request(text, *how, k=1), 64)
+    assert "return a + b" in ask("def add(a, b): return a + b", "collapsed", "dense", "ai").first()["content"]
+    assert "grow" in ask("grow leaf", "top_down", "lexical", "ai").first()["content"]
+    assert "grow" in ask("grow leaf", "top_down", "hybrid", "ai", "two").first()["content"]
+    assert ask("grow leaf", "top_down", "dense", "ai", "nowhere").count() == 0
+    assert cli.shown(ask("grow leaf", "collapsed", "lexical"), False)[0].endswith("  def grow(self): return 'leaf'")
+
+
+@pytest.mark.parametrize("bad", [{"query": ""}, {"query": "x" * 2001}, {"k": 0}, {"k": 51}, {"beam": 33}, {"fanout": 501}, {"alpha": 2.1}, {"mode": "flat"}, {"fusion": "sparse"}, {"domain": "law"}])
+def test_requests_out_of_range(bad):
+    from leafmill.operators.search import Request
+
     with pytest.raises(ValueError):
-        cli.ask(spark, "x", "", "ai", "dense", 1, 64)
+        Request(**{"query": "q", **bad})
+
+
+def test_answers_tell_their_sources(spark):
+    from leafmill.operators.search import Request, answer
+
+    rows = [(1, None, 0, "parent one", None, False), (10, 1, 0, "child", [1.0, 0.0], True), (2, None, 0, "parent two", None, False), (20, 2, 0, "other", [0.0, 1.0], True), (100, None, 1, "top", [0.9, 0.1], True)]
+    chunks = spark.createDataFrame(rows, "id long, parent_chunk_id long, level int, content string, embedding array<double>, is_searchable boolean")
+    chunks = chunks.withColumns({"domain": F.lit("ai"), "source_path": F.lit("f"), "content_type": F.lit("text"), "language": F.lit(None).cast("string"), "page_start": F.lit(1), "page_end": F.lit(1)})
+    edges = spark.createDataFrame([(100, 10), (100, 20)], "parent_id long, child_id long")
+    got = answer(chunks, edges, Request("one", k=2), [1.0, 0.0], lambda q, c: q + "|" + c, "code")
+    assert got["sources"] == [1, 2] and got["tree_path"] == {10: [100], 20: [100]} and got["answer"].startswith("one|[1] (p.1, score=1.000)\nparent one")
+    assert got["fusion_used"] == "dense" and got["worker_used"] == "code" and got["latency_ms"] > 0
+
+
+def test_models_over_batches(spark):
+    from leafmill.functions import models
+
+    df = spark.createDataFrame([(1, "aa", "x.png"), (2, "b", "bad.png"), (3, None, None), (4, "cccc", "y.png")], "id int, text string, path string").coalesce(1)
+    embed = models.embedder(lambda xs: [[len(x), 0.0] for x in xs], 2, batch=3)
+    assert [list(r["v"]) for r in df.select("id", embed(F.col("text")).alias("v")).orderBy("id").collect()] == [[1, 0], [1, 0], [0, 0], [1, 0]]
+    with pytest.raises(Exception, match="expected"):
+        df.select(models.embedder(lambda xs: [[1.0] for _ in xs], 2)(F.col("text"))).collect()
+
+    def see(paths):
+        if any("bad" in p for p in paths):
+            raise RuntimeError("cannot read")
+        return ["seen " + p for p in paths]
+
+    assert [r[0] for r in df.orderBy("id").select(models.captioner(see)(F.col("path"))).collect()] == ["seen x.png", None, None, "seen y.png"]
+    say = models.summariser(lambda texts, domain: f"{domain}:{len(texts)}" if texts != ["b"] else 1 / 0)
+    joined = F.when(F.col("id") == 1, "p\n\n---\n\nq").otherwise(F.col("text"))
+    assert [r[0] for r in df.orderBy("id").select(say(joined, F.lit("ai"))).collect()] == ["ai:2", "b", "ai:1", "ai:1"]
+
+
+def test_documents_of_every_suffix(spark, tmp_path):
+    root = tmp_path / "r" / "ai"
+    (root / "tests").mkdir(parents=True)
+    (root / "a.PY").write_text("x = 1\n")
+    (root / "tests" / "b.py").write_text("x = 2\n")
+    (root / "c.Pdf").write_bytes(b"%PDF")
+    (root / "d.txt").write_text("no")
+
+    def extract(data):
+        box = lambda y: (0.0, y, 60.0, y + 50.0)
+        block = lambda n, kind, y, text: {"page": 1, "block": n, "type": kind, "bbox": dict(zip(("x0", "y0", "x1", "y1"), box(y))), "width": 100, "height": 100, "spans": [{"text": text, "font": "Times"}], "page_w": 100.0, "page_h": 300.0, "title": "The Title"}
+        return [block(0, 0, 0.0, "words " * 30), block(1, 1, 60.0, ""), block(2, 0, 115.0, "Figure 1 shows")]
+
+    docs, segs = files.segments_of(spark, str(tmp_path / "r"), "ai", extract)
+    assert {(r["title"], r["n_pages"]) for r in docs.collect()} == {("a.PY", 1), ("The Title", 1)}
+    assert sorted((r["kind"], r["seg_ord"], (r["text"] or "").strip()[:8], r["image_path"]) for r in segs.collect()) == [("code", 0, "x = 1", None), ("image", 1, "Figure 1", "p0001_img01"), ("text", 0, "words wo", None)]
+    docs, segs = files.segments_of(spark, str(tmp_path / "r"), "ai")
+    assert {r["title"] for r in docs.collect()} == {"a.PY", "c"} and segs.count() == 1
+
+
+def test_data_sets_on_disk(spark, tmp_path):
+    for split, n in (("test", 1), ("train", 2)):
+        spark.range(n).write.parquet(str(tmp_path / "both" / split))
+    spark.range(3).write.parquet(str(tmp_path / "one" / "dev"))
+    assert files.load_any(spark, str(tmp_path / "both")).count() == 2 and files.load_any(spark, str(tmp_path / "one")).count() == 3
 
 
 @pytest.mark.parametrize("best", [1, 2, 4, 17, 31, 49, 50])
