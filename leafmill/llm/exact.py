@@ -14,6 +14,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
 from .common import fresh, stage
 
 #: Counters of the sketch. A digest with more than rows / (0.75 * counters) copies is surely found.
@@ -57,26 +58,42 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty text. An empty table gives an empty result.
     """
     ids = stage(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest")), "digests")
-    heavy = stage(heavy_winners(ids, counters), "winners")
-    settled = ids.join(F.broadcast(heavy), "digest")
+    return settled(ids, stage(heavy_winners(ids, counters), "winners"))
+
+
+def settled(ids: DataFrame, heavy: DataFrame) -> DataFrame:
+    """doc_id, digest, keep_id, group_size, kept of ``ids``: frequent digests by their broadcast winners, the rest by a shuffle."""
+    known = ids.join(F.broadcast(heavy), "digest")
     group = Window.partitionBy("digest")
     rest = ids.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").select(
         "digest", "doc_id", F.max("doc_id").over(group).alias("keep_id"), F.count("*").over(group).alias("group_size")
     )
-    both = settled.select("digest", "doc_id", "keep_id", "group_size").unionByName(rest)
+    both = known.select("digest", "doc_id", "keep_id", "group_size").unionByName(rest)
     return both.select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of equal texts the one with the largest id.
 
-    Of rows that share text and id (or have no id at all), one stays. Frequent texts lose their copies in the
-    scan; then each text's rows meet by digest, and only one per digest and task is shuffled.
+    Of rows that share text and id (or have no id at all), one stays. Groups are settled on ids and digests alone. Rows that
+    go are then dropped in the scan if there are few enough of them to be broadcast. If not, frequent texts lose their
+    copies in the scan, each other text's rows meet by digest, and only one per digest and task is shuffled.
     """
-    digest, keep, rank = fresh(docs, "digest"), fresh(docs, "keep"), fresh(docs, "rank")
+    digest = fresh(docs, "digest")
     keyed = docs.withColumn(digest, F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
     ids = stage(keyed.select(F.col(id_col).alias("doc_id"), F.col(digest).alias("digest")), "digests")
-    heavy = stage(heavy_winners(ids, counters), "winners").select(F.col("digest").alias(digest), F.col("keep_id").alias(keep), F.lit(True).alias(rank))
+    heavy = stage(heavy_winners(ids, counters), "winners")
+    groups = stage(settled(ids, heavy).groupBy("doc_id", "digest", "kept").agg(F.count("*").alias("n")).where("n > 1 OR NOT kept"), "groups")
+    if groups.count() <= common.BROADCAST_ROWS:
+        names = [fresh(docs, "few_id"), fresh(docs, "few_digest")]
+        same = F.col(id_col).eqNullSafe(F.col(names[0])) & (F.col(digest) == F.col(names[1]))
+        out = keyed.join(F.broadcast(groups.where("NOT kept").select("doc_id", "digest").toDF(*names)), same, "left_anti")
+        twice = groups.where("kept").select("doc_id", "digest").toDF(*names)
+        if not twice.isEmpty():  # rows that repeat their id and text
+            out = out.join(F.broadcast(twice), same, "left_anti").unionByName(out.join(F.broadcast(twice), same, "left_semi").dropDuplicates([id_col, digest]))
+        return out.select(*docs.columns)
+    keep, rank = fresh(docs, "keep"), fresh(docs, "rank")
+    heavy = heavy.select(F.col("digest").alias(digest), F.col("keep_id").alias(keep), F.lit(True).alias(rank))
     left = keyed.join(F.broadcast(heavy), digest, "left").where(F.col(rank).isNull() | F.col(id_col).eqNullSafe(F.col(keep)))
     order = Window.partitionBy(digest).orderBy(F.col(id_col).desc_nulls_last())
     return left.select(digest, *[docs[c] for c in docs.columns]).withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank, digest)

@@ -35,7 +35,7 @@ def words_of(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
 
-def test_exact_groups(spark):
+def test_exact_groups(spark, monkeypatch):
     docs = table(spark, odd_rows() + [(100 + i, "Hot Text", "a") for i in range(50)])
     groups = defaultdict(list)
     for r in docs.collect():
@@ -47,9 +47,12 @@ def test_exact_groups(spark):
             want[i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()] += 1
     got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], bytes(r["digest"]).hex()) for r in exact.exact_groups(docs).collect())
     assert got == want
-    kept = exact.exact_dedup(docs)
-    assert kept.columns == docs.columns
-    assert sorted((r["text"] or "").translate(LOW) for r in kept.collect()) == sorted(groups)
+    ends = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    for rows_broadcast in (500_000, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", rows_broadcast)
+        kept = exact.exact_dedup(docs)
+        assert kept.columns == docs.columns
+        assert Counter(((r["text"] or "").translate(LOW), r["doc_id"]) for r in kept.collect()) == Counter(ends.items())
     assert exact.exact_dedup(docs.limit(0)).count() == exact.exact_groups(docs.limit(0)).count() == 0
 
 
