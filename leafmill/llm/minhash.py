@@ -310,3 +310,22 @@ def op5_minhash(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     return near_groups(table(spark, sf_dir, "documents"), k=2)
+
+
+#: The same by all pairs that share a rare shingle: of two sets at 0.8, each one's rarest fifth and one more hold a common shingle.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(a) < 2 THEN a ELSE list_distinct(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) END AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+f AS (SELECT x, count(*) AS df FROM e GROUP BY x),
+p AS (SELECT doc_id, n, x, row_number() OVER (PARTITION BY doc_id ORDER BY df, x) AS place FROM e JOIN f USING (x)),
+rare AS (SELECT doc_id, n, x FROM p WHERE place <= n - (80 * n + 99) // 100 + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM rare a JOIN rare b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+l AS (SELECT a, b FROM c JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 180 * len(list_intersect(sa.g, sb.g)) >= 80 * (len(sa.g) + len(sb.g))),
+ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, reached) AS (SELECT a, b FROM ways UNION SELECT r.id, ways.b FROM r JOIN ways ON r.reached = ways.a),
+low AS (SELECT id, min(reached) AS low FROM r GROUP BY id)
+SELECT s.doc_id, len(s.g) AS n_shingles, least(s.doc_id, coalesce(low, s.doc_id)) AS component_id, least(s.doc_id, coalesce(low, s.doc_id)) = s.doc_id AS kept
+FROM s LEFT JOIN low ON low.id = s.doc_id
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_embeddings": pq.SQL, "op8_exact_dedup": exact.SQL}
+    return {"op5_minhash": minhash.SQL, "op6_embeddings": pq.SQL, "op8_exact_dedup": exact.SQL}
