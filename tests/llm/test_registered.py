@@ -162,3 +162,19 @@ def test_pipeline(spark, sf_dir, docs):
     assert {r["doc_id"] for r in seen["mix_sources"]} <= {r["doc_id"] for r in seen["near_dedup"]}
     assert sorted(r["doc_id"] for r in seen["encode"]) == sorted(r["doc_id"] for r in seen["mix_sources"])
     assert p.exact_dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0), sf_dir).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, sf_dir):
+    import corpus_pipeline as p
+    from test_operators import odd_rows, table
+
+    at = table(spark, odd_rows())
+    columns_, n = at.columns, at.count()
+    for name, stage in p.STAGES[1:]:  # the first may drop any of these rows
+        at = p.common.stage(stage(spark, at, sf_dir), f"odd-{name}")
+        assert name == "encode" or at.columns == columns_
+        if name == "exact_dedup":
+            assert at.count() == len({(t or "").translate(LOW) for _, t, _ in odd_rows()}) < n
+    assert {"bigint"} == {columns(at)["n_tokens"], columns(at)["doc_id"]} and at.count() > 0
+    empty = table(spark, odd_rows()).limit(0)
+    assert all(stage(spark, empty, sf_dir).count() == 0 for _, stage in p.STAGES)
