@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -61,3 +62,63 @@ def hashed_embedding(toks: Column, dim: int = 64) -> Column:
     at = F.transform(toks, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)))
     sign = F.transform(toks, lambda t: F.lit(1.0) - 2 * F.pmod(F.shiftright(F.xxhash64(t), 32), F.lit(2)))
     return _counted(at, sign, F.lit(dim))
+
+
+def rows_of(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length and without nulls as the rows of a matrix, in double precision."""
+    flat = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(vectors), -1)
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each row of ``a`` and the row of ``b`` beside it, summed in order of positions, so that equal vectors have equal results anywhere."""
+    ab, aa, bb = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)):
+        ab += x * y
+        aa += x * x
+        bb += y * y
+    with np.errstate(all="ignore"):
+        return np.clip(ab / np.sqrt(aa * bb), -1.0, 1.0)
+
+
+def nearest_rows(ids: np.ndarray, q: np.ndarray, keys: np.ndarray, n: np.ndarray, least: float, apart: bool, step: int = 256, slack: float = 1e-9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``q``, key, cosine) of the nearest row of ``n`` to each of ``q`` that has one of at least ``least``; the smallest key of ties.
+
+    Matrix products leave what is within ``slack`` of a row's best, far above their error; those are settled by ``cosines``. Equal vectors
+    are met once, by their smallest key, or the next one where ``apart`` and the smallest is the query's own id.
+    """
+    keys, code = np.unique(keys, return_inverse=True)  # codes follow the order of keys
+    _, at, group = np.unique(np.ascontiguousarray(n).view(np.dtype((np.void, n.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
+    order = np.lexsort((code, group))
+    g, c = group[order], code[order]
+    first = c[np.searchsorted(g, np.arange(len(at)))]
+    second = np.full(len(at), -1)
+    more = np.flatnonzero(c != first[g])
+    has, where = np.unique(g[more], return_index=True)
+    second[has] = c[more[where]]
+    own = np.full(len(q), -1)
+    if apart:
+        i = np.minimum(np.searchsorted(keys, ids), len(keys) - 1)
+        own = np.where(keys[i] == ids, i, -1)
+    vectors, by = n[at], np.argsort(first, kind="stable")
+    with np.errstate(all="ignore"):
+        a, b = (x / np.sqrt((x * x).sum(1))[:, None] for x in (q, vectors))
+    b[~np.isfinite(b).all(1)] = np.nan
+    out = []
+    for i in range(0, len(q), step):
+        with np.errstate(all="ignore"):
+            sims = a[i : i + step] @ b.T
+        sims[~np.isfinite(sims)] = -np.inf
+        mine = own[i : i + step]
+        low, high = np.searchsorted(first[by], mine), np.searchsorted(first[by], mine, side="right")
+        for r in np.flatnonzero(high > low):  # nothing but the query itself has this vector
+            same = by[low[r] : high[r]]
+            sims[r, same[second[same] < 0]] = -np.inf
+        r, v = np.nonzero(sims >= np.maximum(sims.max(1), max(least, -1.0))[:, None] - slack)
+        sim = np.concatenate([cosines(q[i + r[j : j + 8192]], vectors[v[j : j + 8192]]) for j in range(0, len(r), 8192)] or [np.zeros(0)])
+        key = np.where(first[v] == mine[r], second[v], first[v])
+        best = np.lexsort((key, -sim, r))
+        best = best[sim[best] >= least]
+        best = best[np.unique(r[best], return_index=True)[1]]
+        out.append((i + r[best], keys[key[best]], sim[best]))
+    return tuple(np.concatenate(x) for x in zip(*out))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..config import DEFAULT, Config
-from ..functions.vector import cosine, literal
+from ..functions.vector import cosine, literal, nearest_rows, rows_of
 
 
 def query_column(query) -> Column:
@@ -87,7 +89,7 @@ def rrf(lists: DataFrame, k: int = 60) -> DataFrame:
 def similarities(queries: DataFrame, nodes: DataFrame, key: str, on: list[str] | None = None, blocks: int = 64) -> DataFrame:
     """query_id, ``key``, sim of all pairs of a query with a node, or of those equal ``on`` columns.
 
-    For stated queries against tree roots, cluster centres or cached queries: nodes are dealt to blocks, and each block
+    For stated queries against tree roots or cluster centres: nodes are dealt to blocks, and each block
     meets all queries, so that no task holds more of the nodes than a block.
     """
     q = queries.select("query_id", F.col("embedding").alias("q"), *(on or []), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
@@ -96,9 +98,36 @@ def similarities(queries: DataFrame, nodes: DataFrame, key: str, on: list[str] |
     return pairs.select("query_id", key, cosine(F.col("q"), F.col("e")).alias("sim"))
 
 
-def nearest(sims: DataFrame, key: str) -> DataFrame:
-    """query_id, ``key``, sim of each query's most similar node; the smallest key of ties."""
-    best = sims.groupBy("query_id").agg(F.min_by(F.struct(key, "sim"), F.struct(-F.col("sim"), F.col(key))).alias("b"))
+def nearest(queries: DataFrame, nodes: DataFrame, key: str, least: float = -1.0, apart: bool = False, blocks: int = 32, block_numbers: int = 2_000_000) -> DataFrame:
+    """query_id, ``key``, sim of each query's most similar node, if that is at least ``least``; the smallest key of ties.
+
+    With ``apart`` a query does not meet nodes of its own id. Vectors that are null, zero or hold null or non-finite components
+    meet nothing, nor do those of different lengths. Every query meets every node: both are dealt to blocks of at most
+    ``block_numbers`` numbers (queries an eighth), a task multiplies a block of either, and the best of all blocks is taken.
+    """
+    whole = lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))  # noqa: E731  # NaN is above infinity
+    sound = F.forall("embedding", whole) & (F.size("embedding") > 0)
+    q = queries.where(F.col("query_id").isNotNull() & sound).select("query_id", F.col("embedding").alias("e"), F.size("embedding").alias("dim"))
+    n = nodes.where(F.col(key).isNotNull() & sound).select(key, F.col("embedding").alias("e"), F.size("embedding").alias("dim"))
+    numbers = [df.agg(F.coalesce(F.sum("dim"), F.lit(0))).first()[0] for df in (q, n)]
+    n_q, n_n = 1 + numbers[0] * 8 // block_numbers, max(blocks, 1 + numbers[1] // block_numbers)
+    part = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    q = q.select("*", part("query_id", n_q).alias("qb")).select("*", every(n_n).alias("nb"))
+    n = n.select("*", part(key, n_n).alias("nb")).select("*", every(n_q).alias("qb"))
+    out = StructType([StructField("query_id", q.schema["query_id"].dataType), StructField(key, n.schema[key].dataType), StructField("sim", DoubleType())])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        types = [left["query_id"].type, right[key].type, pa.float64()]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], t) for t in types], names=out.names)
+        ids, keys = (c.to_numpy() for c in (left["query_id"], right[key]))
+        at, found, sims = nearest_rows(ids, rows_of(left["e"]), keys, rows_of(right["e"]), least, apart)
+        return pa.table([pa.array(x, t) for x, t in zip((ids[at], found, sims), types)], names=out.names)
+
+    on = ["qb", "nb", "dim"]
+    met = q.groupBy(*on).cogroup(n.groupBy(*on)).applyInArrow(meet, out)
+    best = met.groupBy("query_id").agg(F.min_by(F.struct(key, "sim"), F.struct(-F.col("sim"), F.col(key))).alias("b"))
     return best.select("query_id", f"b.{key}", "b.sim")
 
 
@@ -113,4 +142,4 @@ def route(queries: DataFrame, roots: DataFrame, margin: float = 0.0) -> DataFram
 
 def cache_hits(queries: DataFrame, cache: DataFrame, least: float = 0.95) -> DataFrame:
     """query_id, cached_id, sim where a cached query is similar enough."""
-    return nearest(similarities(queries, cache, "cached_id").where(F.col("sim") >= least), "cached_id")
+    return nearest(queries, cache, "cached_id", least)

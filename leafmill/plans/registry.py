@@ -334,8 +334,8 @@ def domain_route(spark, d):
 
 @query("WITH p AS (SELECT q.vec_id AS query_id, n.vec_id AS node, list_cosine_similarity(q.embedding::DOUBLE[], n.embedding::DOUBLE[]) AS sim FROM embeddings q, embeddings n WHERE q.vec_id % 50 = 0 AND n.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, node) AS n FROM p WHERE sim >= 0.4) SELECT query_id, node AS cached_id, round(sim, 6) AS sim FROM r WHERE n = 1")
 def semantic_cache_hit(spark, d):
-    sims = retrieve.similarities(asked(spark, d), vectors(spark, d).withColumnRenamed("id", "cached_id"), "cached_id").where("query_id <> cached_id AND sim >= 0.4")
-    return retrieve.nearest(sims, "cached_id").select("query_id", "cached_id", F.round("sim", 6).alias("sim"))
+    got = retrieve.nearest(asked(spark, d), vectors(spark, d).withColumnRenamed("id", "cached_id"), "cached_id", 0.4, apart=True)
+    return got.select("query_id", "cached_id", F.round("sim", 6).alias("sim"))
 
 
 @query(f"WITH {CENTRES}, r AS (SELECT l.vec_id AS id, c.label AS cluster_id, list_cosine_similarity(l.embedding::DOUBLE[], c.centre) AS sim FROM embeddings l JOIN c ON l.label % 3 = c.label % 3), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, cluster_id) AS n FROM r) SELECT id, cluster_id, round(sim, 6) AS sim FROM k WHERE n = 1")

@@ -353,3 +353,25 @@ def test_trigrams_of_documents_against_brute_force(spark, tmp_path):
     q = grams("the thing")
     want = {i: round(len(grams(t) & q) / len(grams(t) | q), 6) for i, t in docs if grams(t) & q}
     assert {r["id"]: r["score"] for r in registry.queries()["trigram_search_documents"](spark, str(tmp_path)).collect()} == want
+
+
+def test_cached_answers_against_brute_force(spark, tmp_path):
+    """Copies, ties, ids that repeat, and vectors that can't be compared: NaN is no answer, and pairs are not rows."""
+    from leafmill.plans import registry
+
+    rnd = np.random.default_rng(5)
+    base = rnd.normal(size=(60, 8)).astype(np.float32)
+    rows = [(i, [float(x) for x in base[rnd.integers(60)] * np.float32(rnd.choice([1, 2]))], 0) for i in range(700)]
+    for i, odd in ((50, [0.0] * 8), (51, [float("nan")] + [1.0] * 7), (52, [float("inf")] * 8), (53, None), (54, [None] + [1.0] * 7), (55, [1.0] * 7), (100, [1.0, -9.0] * 4)):
+        rows[i] = (i, odd, 0)
+    rows += [(200, rows[7][1], 0), (None, rows[0][1], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sound = [(i, np.array(e)) for i, e, _ in rows if i is not None and e and all(x is not None and np.isfinite(x) for x in e) and any(e)]
+    want = {}
+    for i, a in sound:
+        for j, b in sound:
+            if i % 50 == 0 and i != j and len(a) == len(b) and (s := round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 9)) >= 0.4:
+                want[i] = min(want.get(i, (0, 0)), (-s, j))
+    got = registry.queries()["semantic_cache_hit"](spark, str(tmp_path))
+    assert {r["query_id"]: (r["cached_id"], r["sim"]) for r in got.collect()} == {i: (j, round(-s, 6)) for i, (s, j) in want.items()}
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().toString()
