@@ -15,6 +15,8 @@ LANGUAGES = (
     ("javascript", r"\bfunction\s+\w+\(|=>\s*\{|const\s+\w+\s*="),
 )
 TOKEN = r"\w+|[^\w\s]"
+#: What SQL's trim takes: the space and the other separators of category Zs, neither tabs nor line ends.
+SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
@@ -22,6 +24,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def trim(c: Column) -> Column:
+    """Without spaces at either end, as SQL's trim."""
+    return F.trim(c, F.lit(SPACES))
+
+
 def rstrip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+$", "")
 

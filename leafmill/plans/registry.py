@@ -94,7 +94,7 @@ merged AS (SELECT doc_id, par_ord, string_agg(para, chr(10) || chr(10) ORDER BY
 
 def merged_paragraphs(spark, d) -> DataFrame:
     docs = table(spark, d, "documents")
-    parts = docs.select("doc_id", F.posexplode(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda p: p != "")).alias("pos", "para"))
+    parts = docs.select("doc_id", F.posexplode(F.filter(F.transform(F.split("text", "\n"), T.trim), lambda p: p != "")).alias("pos", "para"))
     return chunk.merge_paragraphs(parts.withColumn("tok", T.space_count(F.col("para"))), ["doc_id"], "pos", "para", "tok", DEFAULT.min_para_tokens)
 
 
@@ -119,10 +119,11 @@ def shard_children(spark, d):
     "SELECT doc_id, count(*) AS n_parents, sum(n_children)::BIGINT AS n_children, sum(token_count)::BIGINT AS tokens FROM c GROUP BY doc_id"
 )
 def chunk_parents_children(spark, d):
-    parents = merged_paragraphs(spark, d).withColumn("raw", F.col("content")).withColumn("token_count", F.size(F.split(F.replace("content", F.lit("\n"), F.lit(" ")), " ")))
-    kids = chunk.children(parents, tokenize=lambda c: F.split(F.replace(c, F.lit("\n"), F.lit(" ")), " "))
-    n = kids.groupBy("doc_id").agg(F.count("*").alias("n_children"))
-    return parents.groupBy("doc_id").agg(F.count("*").alias("n_parents"), F.sum("token_count").alias("tokens")).join(n, "doc_id").select("doc_id", "n_parents", "n_children", "tokens")
+    toks = lambda c: F.split(F.replace(c, F.lit("\n"), F.lit(" ")), " ")
+    parents = merged_paragraphs(spark, d).withColumns({"raw": F.col("content"), "token_count": F.size(toks("content"))})
+    kids = chunk.children(parents.withColumn("tokens", F.col("token_count").cast("long")), tokenize=toks)
+    first = F.col("shard") == 0  # each parent's first child stands for it
+    return kids.groupBy("doc_id").agg(F.count_if(first).alias("n_parents"), F.count("*").alias("n_children"), F.sum(F.when(first, F.col("tokens"))).alias("tokens"))
 
 
 #: A source file of a document: its whole text as comments' place in a class and a function.

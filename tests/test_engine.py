@@ -375,3 +375,21 @@ def test_cached_answers_against_brute_force(spark, tmp_path):
     got = registry.queries()["semantic_cache_hit"](spark, str(tmp_path))
     assert {r["query_id"]: (r["cached_id"], r["sim"]) for r in got.collect()} == {i: (j, round(-s, 6)) for i, (s, j) in want.items()}
     assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["chunk_parents_children"])
+def test_paragraphs_are_trimmed_of_spaces_only(spark, tmp_path, name):
+    """Before, a paragraph lost the digits of its own number at its ends and kept its spaces; rows without doc_id were lost."""
+    import duckdb
+
+    from leafmill.plans import registry
+
+    long = " ".join(["word"] * 39)
+    docs = [(0, f"0 {long} 10\n1 {long} 1\n2"), (1, f" {long}  \n  {long} \n \n0\n1"), (2, f" {long}\u3000\n \n\t{long}\t\n   x  "), (3, " \n  "), (4, None), (5, ""), (6, "0\n1\n2"), (7, f"{long}\r\n\u00a0\u200b{long}  \n  x")]
+    docs += [(8, "\n".join(" " * (i % 7) + f"{i} {long}"[: 50 + 29 * i % 190] + " " * (i % 3) for i in range(120))), (9, " ".join([long] * 60) + " \n1"), (None, f"{long}\nx")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = registry.queries()[name](spark, str(tmp_path))
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
