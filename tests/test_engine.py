@@ -377,7 +377,7 @@ def test_cached_answers_against_brute_force(spark, tmp_path):
     assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["chunk_parents_children"])
+@pytest.mark.parametrize("name", ["chunk_parents_children", "paragraph_merge"])
 def test_paragraphs_are_trimmed_of_spaces_only(spark, tmp_path, name):
     """Before, a paragraph lost the digits of its own number at its ends and kept its spaces; rows without doc_id were lost."""
     import duckdb
