@@ -104,15 +104,3 @@ def shortened(c: Column, n: int) -> Column:
 def is_identifier(t: Column) -> Column:
     """A digit in it, or all capitals and at most eight characters."""
     return t.rlike(r"[0-9]") | (t.rlike("[A-Z]") & (t == F.upper(t)) & (F.length(t) <= 8))
-
-
-def trigrams(c: Column) -> Column:
-    """Distinct trigrams of a text's lower-case words, each padded by two blanks before and one after."""
-    words = F.filter(F.array_distinct(F.split(F.lower(c), "[^a-z0-9]+")), lambda w: w != "")
-    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
-    return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
-
-
-def similarity(a: Column, b: Column) -> Column:
-    """Shared trigrams by all trigrams."""
-    return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))

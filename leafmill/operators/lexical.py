@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions import text as T
+from ..functions.trigrams import scorer
 
 STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 
@@ -32,9 +33,10 @@ def tf_idf(docs: DataFrame, query: list[str], id_col: str = "doc_id", text_col:
 
 
 def trigram(docs: DataFrame, query: str, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score: shared trigrams by all trigrams of text and query."""
-    q = T.trigrams(F.lit(query))
-    return docs.select(F.col(id_col).alias("id"), T.similarity(T.trigrams(F.col(text_col)), q).alias("score")).where(F.col("score") > least)
+    """id, score: shared trigrams by all trigrams of text and query. A null text has none."""
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = StructType([StructField("id", rows.schema["id"].dataType), StructField("score", DoubleType())])
+    return rows.mapInArrow(scorer(query), out).where(F.col("score") > least)
 
 
 def containing(docs: DataFrame, token: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

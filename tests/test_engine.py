@@ -393,3 +393,22 @@ def test_paragraphs_are_trimmed_of_spaces_only(spark, tmp_path, name):
     got = registry.queries()[name](spark, str(tmp_path))
     want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_trigrams_of_odd_texts(spark, tmp_path):
+    """Letters that only lower case makes plain (before, the dotted capital I split its word), words over the pieces that are read, and many texts."""
+    import duckdb
+
+    from leafmill.functions import trigrams
+    from leafmill.plans import registry
+
+    cut, rnd = trigrams._PIECE, random.Random(9)
+    docs = [(0, "THİNG İ thİ"), (1, "King THINK"), (2, None), (3, ""), (4, "é thé ×thing×"), (5, "t h e"), (6, "the\u0000thinġ")]
+    docs += [(10 + i, "é " * (cut // 3 - 4) + "x" * i + " thing the zq") for i in range(12)] + [(30, "the " * (cut // 2)), (31, " " * (2 * cut) + "e")]
+    docs += [(100 + i, "".join(rnd.choice("theing THEING 09,\nİKé") for _ in range(rnd.randrange(90)))) for i in range(300)] + [(None, "the")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.execute(registry.oracle_sql()["trigram_search_documents"]).fetchall()
+    got = registry.queries()["trigram_search_documents"](spark, str(tmp_path)).select("id", "score").collect()
+    assert len(want) > 200 and sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
