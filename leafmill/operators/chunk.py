@@ -13,8 +13,9 @@ def merge_paragraphs(df: DataFrame, key: list[str], pos: str, text: str, tokens:
     """Paragraphs (one a row) merged: short ones join the next long one, trailing ones the last.
 
     The number of long paragraphs before one is its group; what follows the last long one stays in its group.
+    Where rows share a key, paragraphs at one position go by their text.
     """
-    order = Window.partitionBy(*key).orderBy(pos)
+    order = Window.partitionBy(*key).orderBy(pos, text)
     big = (F.col(tokens) >= least).cast("int")
     before = F.coalesce(F.sum(big).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum(big).over(Window.partitionBy(*key))
